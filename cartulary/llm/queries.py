@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, pii, quality_rules, simhash, token_count, toxicity, vp_search
+from . import byte_bpe, chat_format, line_dedup, pii, quality_rules, simhash, token_count, toxicity, vp_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_count.query_op1,
@@ -17,9 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": pii.query_op6,
     "op7_chat_format": chat_format.query_op7,
     "op8_toxicity": toxicity.query_op8,
+    "op9_line_dedup": line_dedup.query_op9,
 }
 
 ORACLES: dict[str, str] = {
     "op6_pii": pii.query_op6,
+    "op3_vp_search": vp_search.SQL_OP3,
     "op7_chat_format": chat_format.SQL_OP7,
 }
