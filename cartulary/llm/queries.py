@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, line_dedup, pii, quality_rules, simhash, token_count, toxicity, vp_search
+from . import byte_bpe, chat_format, line_dedup, mixing, pii, quality_rules, simhash, token_count, toxicity, vp_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_count.query_op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": chat_format.query_op7,
     "op8_toxicity": toxicity.query_op8,
     "op9_line_dedup": line_dedup.query_op9,
+    "op10_mixing": mixing.query_op10,
 }
 
 ORACLES: dict[str, str] = {
