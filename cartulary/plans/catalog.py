@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,18 +22,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "exact_dup_groups",
-    """
-    SELECT sha256(coalesce(text, '')) AS text_sha256, count(*) AS n_docs, min(doc_id) AS representative,
-           string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id) AS members
-    FROM documents GROUP BY 1 HAVING count(*) > 1
-    """,
-)
-def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return (
-        docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-        .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("representative"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "|").alias("members"))
-        .filter("n_docs > 1")
-    )
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import embed_queries, text_queries, time_queries, join_queries, group_queries  # noqa: E402, F401, I001
