@@ -8,8 +8,9 @@
    the word's bytes, looking ranks up in a literal rank map, and ``decode``
    concatenates the binary pieces of the ids back.
 3. That dictionary (its size bounded by the parameter, whatever the corpus) is
-   broadcast and every whole text is encoded word by word.  A word outside the
-   dictionary is folded where it stands by the same ranked merges
+   broadcast and every whole text is encoded word by word, with a bounded memo
+   of the space-delimited chunks already seen.  A word outside the dictionary
+   is folded where it stands by the same ranked merges
    (``merge_word``), so no document's result depends on the bound.
 
 The rank map is an array of small maps, chosen by CRC-32, because a lookup in
@@ -27,11 +28,14 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +46,8 @@ BUCKETS = 16_384
 #: Words up to this many bytes are folded by scanning all pairs at each merge.
 FOLD_BYTES = 40
 DICTIONARY_WORDS = 262_144
-#: Words outside the dictionary that a worker remembers before it starts anew.
-MEMO = 200_000
+#: Encoded chunks and rare words that a worker remembers, twice over at most.
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -145,25 +149,92 @@ def merge_word(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return out
 
 
+#: A space between two characters that aren't white space: under the pattern every
+#: such space starts a piece, so a text can be cut before each of them.
+_lone_space = re.compile(r"(?<=\S)[ ](?=\S)")
+#: Texts that Arrow's plain split at spaces would cut elsewhere or mark wrongly.
+_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+_UNEVEN = f" {_BLANK}|{_BLANK} |^{_BLANK}|{_BLANK}$|^$|\\x00"
+#: Bytes of text that are worked on at once.
+PIECE = 6 << 20
+
+
+def chunks_of(text: str) -> list[str]:
+    """The text cut before lone spaces; pieces of the chunks are the pieces of the text."""
+    parts = _lone_space.split(text)
+    return [parts[0], *[" " + p for p in parts[1:]]] if text else []
+
+
+def chunk_table(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of some texts, the number of each chunk in text order, and where each text's chunks begin (and end)."""
+    uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
+    even = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x00"), texts.filter(pa.array(~uneven)), pa.scalar("")), " ")
+    coded = even.flatten().dictionary_encode()
+    names = [k[1:] if k[:1] == "\x00" else " " + k for k in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy()
+    if not uneven.any():
+        return names, codes, np.r_[0, np.cumsum(pc.list_value_length(even).to_numpy(zero_copy_only=False))].astype(np.int64)
+    place = {n: i for i, n in enumerate(names)}
+    rest = [[place.setdefault(c, len(place)) for c in chunks_of(t)] for t in texts.filter(pa.array(uneven)).to_pylist()]
+    size = np.zeros(len(texts), np.int64)
+    size[~uneven], size[uneven] = pc.list_value_length(even).to_numpy(zero_copy_only=False), list(map(len, rest))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]), np.int64)
+    odd = np.repeat(uneven, size)
+    out[~odd], out[odd] = codes, [c for r in rest for c in r]
+    return list(place), out, np.r_[0, ends]
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``size`` bytes of text."""
+    n = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(n, (n[begin - 1] if begin else 0) + size, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+class Memo:
+    """A bounded memo of two generations: what was used since the last turn stays."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.new, self.old = make, size, {}, {}
+
+    def __call__(self, key):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key) or self.make(key)
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = got
+        return got
+
+
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n: how often each pre-token occurs in all texts (columns doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, held = regex.compile(pattern).findall, {}
+        find, chunks = regex.compile(pattern).findall, {}
 
         def out() -> pa.RecordBatch:
+            held: dict[str, int] = {}
+            for chunk, n in chunks.items():
+                for w in find(chunk):
+                    held[w] = held.get(w, 0) + n
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                for w in find(value.as_py()):
-                    held[w] = held.get(w, 0) + 1
-                if len(held) > 500_000:
+            for part in slices(batch, 0):
+                names, codes, _ = chunk_table(part.column(0))
+                for c, n in zip(names, np.bincount(codes, minlength=len(names)).tolist(), strict=True):
+                    chunks[c] = chunks.get(c, 0) + n
+                if len(chunks) > 600_000:
                     yield out()
-                    held = {}
-        if held:
+                    chunks = {}
+        if chunks:
             yield out()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -193,55 +264,55 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
-        known, rank, pieces, memo = _worker_state(token, shipped, shipped_ranks)
-        sha = hashlib.sha256
-
-        def rare(w: str) -> tuple[bytes, bytes]:
-            got = memo.get(w)
-            if got is None:
-                ids = merge_word(rank, w.encode("utf-8"))
-                got = (",".join(map(str, ids)).encode(), b"".join([pieces[i] for i in ids]))
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[w] = got
-            return got
-
+        encode, sha = _worker_state(token, pattern, shipped, shipped_ranks), hashlib.sha256
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                n, ids_hex, out_hex, same = [], [], [], []
-                for value in part.column(1):
-                    text = value.as_py()
-                    got = [known.get(w) or rare(w) for w in find(text)]
-                    ids, out = b",".join([g[0] for g in got]), b"".join([g[1] for g in got])
-                    n.append(ids.count(b",") + 1 if got else 0)
-                    ids_hex.append(sha(ids).hexdigest())
-                    out_hex.append(sha(out).hexdigest())
-                    same.append(out == text.encode("utf-8"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(out_hex, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            for part in slices(batch, 1):
+                names, codes, at = chunk_table(part.column(1))
+                got = list(map(encode, names))
+                n = np.fromiter([g[2] for g in got], np.int64, len(got))[codes]
+                n = np.add.reduceat(np.append(n, 0), at[:-1]) * (at[1:] > at[:-1])
+                whole = lambda k, sep: pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([g[k] for g in got], pa.binary()).take(pa.array(codes))), sep).to_pylist()  # noqa: B023, E731
+                ids_hex = [sha(x).hexdigest() for x in whole(0, b",")]
+                out = whole(1, b"")
+                same = [a == b.as_buffer().to_pybytes() if b.is_valid else False for a, b in zip(out, part.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(ids_hex, pa.string()), pa.array([sha(x).hexdigest() for x in out], pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
-_state: dict[str, tuple] = {}
+_state: dict[str, Memo] = {}
 
 
-def _worker_state(token: str, shipped, shipped_ranks) -> tuple:
-    """Dictionary, ranks, pieces and memo of this worker; one set is held at a time."""
+def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> Memo:
+    """What encodes a chunk to (ids, decoded bytes, number of ids) in this worker; one set is held at a time."""
     if token not in _state:
+        import regex
+
         _state.clear()
-        ranks = shipped_ranks.value
+        ranks, find = shipped_ranks.value, regex.compile(pattern).findall
         pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for p, i in ranks.items():
             pieces[i] = p
-        known: dict[str, tuple[bytes, bytes]] = {}
+        known: dict[str, tuple[bytes, bytes, int]] = {}
         with pa.ipc.open_stream(shipped.value) as reader:
             for batch in reader:
                 for w, ids, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    known[w] = (",".join(map(str, ids)).encode(), out)
-        _state[token] = (known, ranks, pieces, {})
+                    known[w] = (",".join(map(str, ids)).encode(), out, len(ids))
+
+        def rare(w: str) -> tuple[bytes, bytes, int]:
+            ids = merge_word(ranks, w.encode("utf-8"))
+            return ",".join(map(str, ids)).encode(), b"".join([pieces[i] for i in ids]), len(ids)
+
+        rarely = Memo(rare, MEMO)
+
+        def chunk(x: str) -> tuple[bytes, bytes, int]:
+            got = [known.get(w) or rarely(w) for w in find(x)]
+            if len(got) == 1:
+                return got[0]
+            return b",".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
+
+        _state[token] = Memo(chunk, MEMO)
     return _state[token]
 
 
@@ -249,3 +320,9 @@ def query_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
