@@ -93,18 +93,18 @@ def numeric_extract_long(spark, sf_dir):
     WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z'']+') AS words, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: len(regexp_extract_all(s, '[A-Za-z'']+'))), lambda n: n > 0) AS sents FROM documents),
     y AS (SELECT *, list_transform(words, lambda w: regexp_replace(w, '[^a-z]', '', 'g')) AS bare FROM w),
     s AS (SELECT *, list_transform(bare, lambda w: CASE WHEN w = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN w LIKE '%e' AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(w, '[^aeiouy]le$') THEN 1 ELSE 0 END) END) AS syl FROM y)
-    SELECT doc_id, CAST(len(sents) AS DOUBLE) AS sentence_count, round(coalesce(list_sum(sents) / nullif(len(sents), 0), 0), 6) AS avg_sentence_words,
-           round(coalesce(list_sum(list_transform(words, lambda w: length(w))) / nullif(len(words), 0), 0), 6) AS avg_word_chars,
-           round(coalesce(len(list_filter(words, lambda w: length(w) >= 7)) / nullif(len(words), 0), 0), 6) AS long_word_share,
-           round(coalesce(list_sum(syl) / nullif(len(words), 0), 0), 6) AS syllables_per_word,
-           round(CASE WHEN len(words) > 0 AND len(sents) > 0 THEN 206.835 - 1.015 * list_sum(sents) / len(sents) - 84.6 * list_sum(syl) / len(words) ELSE 0 END, 6) AS reading_ease,
-           round(CASE WHEN len(words) > 0 AND len(sents) > 0 THEN 0.39 * list_sum(sents) / len(sents) + 11.8 * list_sum(syl) / len(words) - 15.59 ELSE 0 END, 6) AS grade
+    SELECT doc_id, CAST(len(sents) AS DOUBLE) AS sentence_count, round(coalesce(list_sum(sents) / nullif(len(sents), 0), 0), 10) AS avg_sentence_words,
+           round(coalesce(list_sum(list_transform(words, lambda w: length(w))) / nullif(len(words), 0), 0), 10) AS avg_word_chars,
+           round(coalesce(len(list_filter(words, lambda w: length(w) >= 7)) / nullif(len(words), 0), 0), 10) AS long_word_share,
+           round(coalesce(list_sum(syl) / nullif(len(words), 0), 0), 10) AS syllables_per_word,
+           round(CASE WHEN len(words) > 0 AND len(sents) > 0 THEN 206.835 - 1.015 * list_sum(sents) / len(sents) - 84.6 * list_sum(syl) / len(words) ELSE 0 END, 10) AS reading_ease,
+           round(CASE WHEN len(words) > 0 AND len(sents) > 0 THEN 0.39 * list_sum(sents) / len(sents) + 11.8 * list_sum(syl) / len(words) - 15.59 ELSE 0 END, 10) AS grade
     FROM s
     """,
 )
 def linguistic_metrics(spark, sf_dir):
     m = fx.linguistic("text")
-    return table(spark, sf_dir, "documents").select("doc_id", m["sentence_count"].alias("sentence_count"), *[F.round(c, 6).alias(n) for n, c in m.items() if n != "sentence_count"])
+    return table(spark, sf_dir, "documents").select("doc_id", m["sentence_count"].alias("sentence_count"), *[F.round(c, 10).alias(n) for n, c in m.items() if n != "sentence_count"])
 
 
 @query("page_url_parse", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path, TRY_CAST(regexp_extract(url, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS last_number FROM pages")
