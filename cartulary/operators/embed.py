@@ -129,8 +129,8 @@ def density_clusters(df: DataFrame, item: str, vector: str, min_cluster: int, mi
 
 def weighted_documents(segments: DataFrame, doc: str, index: str, expected: str, chars: str, vector: str) -> DataFrame:
     """doc, centroid: character-weighted means of documents whose segments are complete (0..expected-1, each once)."""
-    ok = segments.groupBy(doc).agg(F.count("*").alias("n"), F.countDistinct(index).alias("d"), F.min(index).alias("lo"), F.max(index).alias("hi"), F.max(expected).alias("e"))
-    ok = ok.filter((F.col("n") == F.col("e")) & (F.col("d") == F.col("e")) & (F.col("lo") == 0) & (F.col("hi") == F.col("e") - 1)).select(doc)
+    ok = segments.groupBy(F.col(doc).alias("_doc")).agg(F.count("*").alias("_n"), F.countDistinct(index).alias("_d"), F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.max(expected).alias("_e"))
+    ok = ok.filter("_n = _e and _d = _e and _lo = 0 and _hi = _e - 1").select(F.col("_doc").alias(doc))
     return centroids(segments.join(ok, doc, "left_semi"), doc, vector, chars).select(doc, "centroid")
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shard_by_budget(df: DataFrame, item: str, size: str, max_rows: int, max_bytes: int, parts: int = 32) -> DataFrame:
@@ -101,7 +102,7 @@ def _repair(text: str | None) -> str | None:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(text: pd.Series) -> pd.Series:
     return text.map(_repair)
 

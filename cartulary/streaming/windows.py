@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """start, n, v of tumbling (or sliding) windows; ``late`` sets the watermark of a stream."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if late and events.isStreaming:
+        rows = rows.withWatermark("ts", late)
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return rows.groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("v")).select(F.col("w.start").alias("start"), "n", "v")
 
