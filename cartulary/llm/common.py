@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.storage import drop_stash, stash, work_folder  # noqa: F401
+from cartulary.storage import drop_stash, release, stash, work_folder  # noqa: F401
 
 #: Words as the contracts define them: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

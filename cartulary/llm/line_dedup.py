@@ -2,7 +2,8 @@
 
 1. Every line of at least ``min_chars`` normalised characters (lower case, white
    space collapsed) gets a 128-bit key and a one-permutation MinHash signature
-   of its character shingles, as ``BANDS`` band keys of ``ROWS`` values.
+   of its character shingles, as ``BANDS`` band keys of ``ROWS`` values: 99.9 % of pairs at the
+   threshold share a key, unrelated lines hardly ever do.
 2. Lines with equal keys collapse to one; distinct lines that share a band key
    are candidates.  Band buckets with the same least member are merged, so a
    line's text travels once per such group and not once per band.
@@ -32,17 +33,24 @@ from pyspark.sql import functions as F
 
 from cartulary.operators.graph import connected_components
 
-from .common import stash, table, texts_of
+from .common import drop_stash, release, stash, table, texts_of
 
 SHINGLE = 5
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 16, 5
+#: Shingles from which one permutation serves all values.
+FEW = 128
 SIMILARITY = 0.8
 MIN_CHARS = 20
 GROUP_ROWS = 4_096
+CALL_ROWS = 2_048
+#: Buckets of up to SMALL lines are thinned by sketches that must agree in AGREE of 64 bits.
+SMALL, AGREE = 64, 48
 BLOOM_BITS = 26
 _BINS = BANDS * ROWS
 _U = np.uint64
 _NONE = ~_U(0)
+#: A product with an odd number permutes the hashes.
+_ODD = np.random.default_rng(9).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def normalise(line: str) -> str:
@@ -55,8 +63,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) band keys; lines are at least SHINGLE characters long."""
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys, the place of the line that has each, and its sketch; lines are at least SHINGLE characters long.
+
+    Lines with ``FEW`` shingles or more get one-permutation signatures.  Few
+    shingles would leave most bins empty, so lines with less than ``2 * FEW`` get
+    signatures with a permutation for each value; those between have both,
+    since similar lines may lie on either side of the limit.
+    """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes) - SHINGLE + 1
@@ -64,22 +78,47 @@ def band_keys(lines: list[str]) -> np.ndarray:
     for k in range(SHINGLE):
         h = h * _U(0x9E3779B97F4A7C15) + codes[k : k + n]
     h = _mix(h)
-    line = np.repeat(np.arange(len(lines)), size)[:n]
-    inside = line == np.repeat(np.arange(len(lines)), size)[SHINGLE - 1 :]
-    h, line = h[inside], line[inside]
-    least = np.full(len(lines) * _BINS, _NONE)
-    np.minimum.at(least, line * _BINS + ((h >> _U(40)) * _U(_BINS) >> _U(24)).astype(np.int64), h)
-    least = least.reshape(-1, _BINS)
-    # An empty bin takes the value of the next full one, marked by how far it lies.
-    for far in range(1, _BINS):
-        empty = least == _NONE
-        if not empty.any():
-            break
-        take = np.roll(least, -1, axis=1)
-        least = np.where(empty & (take != _NONE), take + _U(0x9E3779B97F4A7C15), least)
-    out = np.zeros((len(lines), BANDS), np.uint64)
+    line = np.repeat(np.arange(len(lines)), size)
+    inside = line[:n] == line[SHINGLE - 1 :]
+    h, line, own = h[inside], line[:n][inside], size - SHINGLE + 1
+    many, few = np.flatnonzero(own >= FEW), np.flatnonzero(own < 2 * FEW)
+    keys, places, sketches = [], [], []
+    if len(many):
+        at = np.full(len(lines), -1)
+        at[many] = np.arange(len(many))
+        take = at[line] >= 0
+        part = h[take]
+        least = np.full(len(many) * _BINS, _NONE)
+        np.minimum.at(least, at[line[take]] * _BINS + ((part >> _U(40)) * _U(_BINS) >> _U(24)).astype(np.int64), part)
+        least = least.reshape(-1, _BINS)
+        # An empty bin takes the value of the next full one, marked by how far it lies.
+        twice = np.concatenate([least, least], axis=1)
+        full = np.where(twice != _NONE, np.arange(2 * _BINS), 4 * _BINS)
+        after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
+        least = np.take_along_axis(twice, after, 1) + (after - np.arange(_BINS)).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+        keys.append(_banded(least, 1).ravel())
+        places.append(np.repeat(many, BANDS))
+        sketches.append(np.repeat(_sketch(least), BANDS))
+    if len(few):
+        part = h[(own < 2 * FEW)[line]]
+        starts = np.r_[0, np.cumsum(own[few])[:-1]]
+        least = np.stack([np.minimum.reduceat(part * odd, starts) for odd in _ODD], axis=1)
+        keys.append(_banded(least, 2).ravel())
+        places.append(np.repeat(few, BANDS))
+        sketches.append(np.repeat(_sketch(least), BANDS))
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (places, np.int64), (sketches, np.uint64)))
+
+
+def _sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of each of 64 values: two lines agree in (1 + Jaccard) / 2 of them."""
+    bits = ((values[:, :64] >> _U(20)) & _U(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _banded(values: np.ndarray, kind: int) -> np.ndarray:
+    out = np.full((len(values), BANDS), _U(kind))
     for r in range(ROWS):
-        out = _mix(out * _U(31) + least[:, r * BANDS : (r + 1) * BANDS])
+        out = _mix(out * _U(31) + values[:, r * BANDS : (r + 1) * BANDS])
     return _mix(out + np.arange(BANDS, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
@@ -93,49 +132,79 @@ def _keys(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), np.int64).reshape(-1, 2)
 
 
+def _lines_of(texts: list[str], min_chars: int) -> Iterator[tuple[int, int, str]]:
+    """Place of the text, number of the line and normalised line, of every line that takes part."""
+    for k, t in enumerate(texts):
+        for i, x in enumerate(t.split("\n")):
+            if len(x) >= min_chars and len(y := normalise(x)) >= min_chars:
+                yield k, i, y
+
+
 def find_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no, h1, h2, b0.. of every line that takes part."""
+    """doc_id, line_no, h1, h2 of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                doc, number, lines = [], [], []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for i, x in enumerate(t.split("\n")):
-                        if len(x) >= min_chars and len(y := normalise(x)) >= min_chars:
-                            doc.append(d)
-                            number.append(i)
-                            lines.append(y)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = list(_lines_of(part.column(1).to_pylist(), min_chars))
+                if found:
+                    h = _keys([y for _, _, y in found])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _, _ in found])), pa.array([i for _, i, _ in found], pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "line_no", "h1", "h2"])
+
+    return _taking_part(docs, id_col, text_col).mapInArrow(run, "doc_id long, line_no int, h1 long, h2 long")
+
+
+def _taking_part(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts_of(docs, id_col, text_col).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def find_bands(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """key, h1, sketch: the band keys of every line, once per slice of a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                lines = list({y for _, _, y in _lines_of(batch.column(0).slice(k, 512).to_pylist(), min_chars)})
                 if lines:
-                    place: dict[str, int] = {}
-                    at = np.fromiter([place.setdefault(x, len(place)) for x in lines], np.int64, len(lines))
-                    once = list(place)
-                    h, b = _keys(once)[at], band_keys(once).view(np.int64)[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(h[:, i])) for i in range(2)), *(pa.array(np.ascontiguousarray(b[:, i])) for i in range(BANDS))], names)
+                    keys, at, sketch = band_keys(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(_keys(lines)[at, 0]), pa.array(sketch.view(np.int64))], ["key", "h1", "sketch"])
+
+    return _taking_part(docs, id_col, text_col).select("text").mapInArrow(run, "key long, h1 long, sketch long")
 
-    names = ["doc_id", "line_no", "h1", "h2", *(f"b{i}" for i in range(BANDS))]
-    rows = texts_of(docs, id_col, text_col).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, line_no int, h1 long, h2 long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
 
+def shared_groups(bands: DataFrame) -> DataFrame:
+    """lead, h1: lines of band buckets with two members or more, by the buckets' least member.
 
-def shared_groups(distinct: DataFrame) -> DataFrame:
-    """lead, h1: lines of band buckets with two members or more, by the buckets' least member."""
+    A member of a small bucket stays only if its sketch agrees with another's in
+    ``AGREE`` bits: 57.6 are expected at the threshold (deviation 2.4), 42 of lines
+    that share three shingles of ten.  Members of large buckets all stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        held = [tuple(b.column(k).to_numpy() for k in range(3)) for b in batches]
         if held:
-            key, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, h, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((h, key))
-            key, h = key[order], h[order]
+            key, h, sketch = key[order], h[order], sketch[order].view(np.uint64)
+            once = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
+            key, h, sketch = key[once], h[once], sketch[once]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             n = np.diff(np.r_[first, len(key)])
-            lead, many = np.repeat(h[first], n), np.repeat(n > 1, n)
-            yield pa.RecordBatch.from_arrays([pa.array(lead[many]), pa.array(h[many])], ["lead", "h1"])
+            size, place = np.repeat(n, n), np.arange(len(key)) - np.repeat(first, n)
+            stays = size > SMALL
+            for far in range(1, int(min(n.max(initial=0), SMALL))):
+                i = np.flatnonzero((size <= SMALL) & (place + far < size))
+                i = i[np.bitwise_count(sketch[i] ^ sketch[i + far]) <= 64 - AGREE]
+                stays[i] = stays[i + far] = True
+            key, h = key[stays], h[stays]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            lead = np.repeat(h[first], np.diff(np.r_[first, len(key)]))
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(h)], ["lead", "h1"])
 
-    spark = distinct.sparkSession
-    keys = distinct.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"), "h1")
-    return keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(run, "lead long, h1 long").distinct()
+    n_parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bands.repartition(n_parts, "key").mapInArrow(run, "lead long, h1 long").distinct()
 
 
 def bloom(lines: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -162,13 +231,13 @@ def fetch_lines(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                lines = list({y for t in batch.column(0).slice(k, 256).to_pylist() for x in t.split("\n") if len(x) >= min_chars and len(y := normalise(x)) >= min_chars})
+                lines = list({y for _, _, y in _lines_of(batch.column(0).slice(k, 256).to_pylist(), min_chars)})
                 if lines:
                     h = _keys(lines)
                     at = np.flatnonzero(in_bloom(shipped.value, np.ascontiguousarray(h[:, 0])))
                     yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array([lines[i] for i in at], pa.string())], ["h1", "h2", "line"])
 
-    return texts_of(docs, id_col, text_col).filter("doc_id is not null").select("text").mapInArrow(run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
+    return _taking_part(docs, id_col, text_col).select("text").mapInArrow(run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
 
 
 def link_lines(lines: list[str], similarity: float, side: list[int] | None = None) -> np.ndarray:
@@ -190,16 +259,14 @@ def link_lines(lines: list[str], similarity: float, side: list[int] | None = Non
         both = len(a & b)
         return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
-    keys = band_keys(lines)
-    for b in range(BANDS):
-        order = np.argsort(keys[:, b], kind="stable")
-        k = keys[order, b]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        for begin, stop in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True):
-            if stop - begin < 2:
-                continue
+    keys, at, _ = band_keys(lines)
+    order = np.lexsort((at, keys))
+    keys, at = keys[order], at[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    for begin, stop in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        if stop - begin > 1:
             parts: dict[int, list[int]] = {}
-            for i in order[begin:stop].tolist():
+            for i in at[begin:stop].tolist():
                 own = root(i)
                 for other in [p for p in parts if p != own]:
                     if any(alike(i, j) for j in parts[other] if side is None or side[i] != side[j]):
@@ -212,25 +279,33 @@ def link_lines(lines: list[str], similarity: float, side: list[int] | None = Non
 
 
 def line_links(groups: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """u, v (line ids): links that connect all similar lines of every group."""
+    """u, v (line ids): links that connect all similar lines of every group.
+
+    Small groups share calls of about ``CALL_ROWS`` lines; a large one is cut into pieces.
+    """
     sizes = groups.groupBy("lead").count().filter(F.col("count") > group_rows)
     big = stash(sizes.select("lead", F.ceil(F.col("count") / group_rows).cast("int").alias("pieces")), "lines-large")
+    calls = max(1, groups.count() // CALL_ROWS)
     rows = groups.withColumns({"mine": F.lit(0), "piece": F.lit(-1), "other": F.lit(-1)})
+    cut = None
     if not big.isEmpty():
         cut = groups.join(big, "lead").withColumn("mine", F.pmod(F.xxhash64("h1"), F.col("pieces")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         cut = cut.select("lead", "h1", "mine", F.least("mine", "with").alias("piece"), F.greatest("mine", "with").alias("other"))
-        rows = rows.join(big, "lead", "left_anti").select(cut.columns).unionByName(cut)
+        rows = rows.join(big, "lead", "left_anti")
+    rows = rows.select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), "h1", "mine", "piece", "other").distinct()
+    if cut is not None:
+        rows = rows.unionByName(cut.withColumnRenamed("lead", "call"))
 
     def run(t: pa.Table) -> pa.Table:
-        lines, ids, mine = (t.column(c).to_pylist() for c in ("line", "id", "mine"))
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        lines, ids, mine = ([x[i] for i in order] for x in (lines, ids, mine))
-        comp = link_lines(lines, similarity, mine if min(mine) != max(mine) else None)
+        held = dict(zip(t.column("id").to_pylist(), zip(t.column("line").to_pylist(), t.column("mine").to_pylist(), strict=True), strict=True))
+        ids = sorted(held)
+        mine = [held[i][1] for i in ids]
+        comp = link_lines([held[i][0] for i in ids], similarity, mine if min(mine) != max(mine) else None)
         pairs = [(ids[i], ids[c]) for i, c in enumerate(comp.tolist()) if c != i]
         return pa.table({"u": pa.array([p[0] for p in pairs], pa.string()), "v": pa.array([p[1] for p in pairs], pa.string())})
 
     named = texts.select("h1", line_id().alias("id"), "line")
-    return rows.join(named, "h1").groupBy("lead", "piece", "other").applyInArrow(run, "u string, v string").distinct()
+    return rows.join(named, "h1").groupBy("call", "piece", "other").applyInArrow(run, "u string, v string").distinct()
 
 
 def line_id():
@@ -239,17 +314,24 @@ def line_id():
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, drop: the numbers (from 0) of the lines that go, for documents that lose any."""
+    spark = docs.sparkSession
     lines = stash(find_lines(docs, id_col, text_col, min_chars), "lines-found")
-    distinct = stash(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]), "lines-distinct")
-    groups = stash(shared_groups(distinct), "lines-groups")
+    groups = stash(shared_groups(find_bands(docs, id_col, text_col, min_chars)), "lines-groups")
+    release(spark)
     texts = stash(fetch_lines(docs, bloom(groups), id_col, text_col, min_chars), "lines-texts")
+    release(spark)
     links = stash(line_links(groups, texts, similarity, group_rows), "lines-links")
+    drop_stash(groups)
+    drop_stash(texts)
+    release(spark)
+    distinct = stash(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")), "lines-distinct")
     parts = connected_components(links)
     known = distinct.select("h1", "h2", "owner", "n", line_id().alias("id"))
     member = parts.join(known, parts["node"] == known["id"]).select("h1", "h2", "component", "owner")
     near = member.join(member.groupBy("component").agg(F.min("owner").alias("keeper")), "component").select("h1", "h2", "component", "keeper")
     same = known.filter("n > 1").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("id").alias("component"), F.col("owner").alias("keeper"))
     judged = lines.select("doc_id", "line_no", "h1", "h2").join(stash(near.unionByName(same), "lines-judged"), ["h1", "h2"])
+    release(spark)
     # In the keeper the component's first line stays.
     first = judged.filter("doc_id = keeper").groupBy("doc_id", "component").agg(F.min("line_no").alias("first"))
     gone = judged.join(first, ["doc_id", "component"], "left").filter("first is null or line_no <> first")
