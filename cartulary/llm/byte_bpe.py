@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts_of
+from .common import release, stash, table, texts_of
 
 #: Maps in the literal rank map.
 BUCKETS = 16_384
@@ -70,16 +70,19 @@ class RankTable:
         self.map = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
         self.pieces = F.from_json(F.lit(json.dumps(by_id, separators=(",", ":"))), "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        """The rank of a piece in hex, null if it is no token."""
-        return F.try_element_at(F.get(self.map, (F.crc32(piece) % self.buckets).cast("int")), piece)
-
     def encode(self, word: Column) -> Column:
-        """array<int>: the ids of one pre-token."""
+        """array<int>: the ids of one pre-token.  A lambda binds the rank map, so a plan holds it once."""
+        return F.get(F.transform(F.array(self.map), lambda held: self._encode(word, held)), F.lit(0))
+
+    def _encode(self, word: Column, held: Column) -> Column:
         code = F.hex(F.encode(word, "utf-8"))
         n = F.octet_length(word)
         start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(code, 2 * i + 1, F.lit(2)))
 
+        def rank(piece: Column) -> Column:
+            """The rank of a piece in hex, null if it is no token."""
+            return F.try_element_at(F.get(held, (F.crc32(piece) % self.buckets).cast("int")), piece)
+
         def merge(pieces: Column, ranks: Column) -> Column:
             j = F.array_position(ranks, F.array_min(ranks)).cast("int")
             joined = F.concat(F.get(pieces, j - 1), F.get(pieces, j))
@@ -88,12 +91,12 @@ class RankTable:
         def step(state: Column, _: Column) -> Column:
             pieces = state["pieces"]
             pairs = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.size(pieces) - 2)).otherwise(F.array().cast("array<int>"))
-            bound = F.transform(F.array(F.transform(pairs, lambda i: self.rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))))), lambda r: F.when(F.array_min(r).isNull(), F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))).otherwise(F.struct(merge(pieces, r).alias("pieces"), F.lit(False).alias("done"))))
+            bound = F.transform(F.array(F.transform(pairs, lambda i: rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))))), lambda r: F.when(F.array_min(r).isNull(), F.struct(pieces.alias("pieces"), F.lit(True).alias("done"))).otherwise(F.struct(merge(pieces, r).alias("pieces"), F.lit(False).alias("done"))))
             return F.when(state["done"], state).otherwise(F.get(bound, F.lit(0)))
 
         first = F.struct(start.alias("pieces"), F.lit(False).alias("done"))
-        folded = F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: F.transform(s["pieces"], self.rank))
-        whole = self.rank(code)
+        folded = F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: F.transform(s["pieces"], rank))
+        whole = rank(code)
         return F.when(n == 0, F.array().cast("array<int>")).when(whole.isNotNull(), F.array(whole)).otherwise(folded)
 
     def decode(self, ids: Column) -> Column:
@@ -201,6 +204,9 @@ class Memo:
     def __init__(self, make, size: int):
         self.make, self.size, self.new, self.old = make, size, {}, {}
 
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
     def __call__(self, key):
         got = self.new.get(key)
         if got is None:
@@ -260,11 +266,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     shipped, shipped_ranks = spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), spark.sparkContext.broadcast(ranks)
     token = uuid.uuid4().hex
     del found, sink
+    release(spark)
+    pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encode, sha = _worker_state(token, pattern, shipped, shipped_ranks), hashlib.sha256
+        (encode, rarely), sha = _worker_state(token, pattern, shipped, shipped_ranks), hashlib.sha256
         for batch in batches:
             for part in slices(batch, 1):
                 names, codes, at = chunk_table(part.column(1))
@@ -281,11 +289,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
-_state: dict[str, Memo] = {}
+_state: dict[str, tuple[Memo, Memo]] = {}
 
 
-def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> Memo:
-    """What encodes a chunk to (ids, decoded bytes, number of ids) in this worker; one set is held at a time."""
+def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> tuple[Memo, Memo]:
+    """What encodes a chunk, and a rare word, to (ids, decoded bytes, number of ids) in this worker; one set is held at a time."""
     if token not in _state:
         import regex
 
@@ -312,7 +320,7 @@ def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> Memo:
                 return got[0]
             return b",".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
 
-        _state[token] = Memo(chunk, MEMO)
+        _state[token] = Memo(chunk, MEMO), rarely
     return _state[token]
 
 
