@@ -38,13 +38,13 @@ from .common import drop_stash, release, stash, table, texts_of
 SHINGLE = 5
 BANDS, ROWS = 16, 5
 #: Shingles from which one permutation serves all values.
-FEW = 128
+FEW = 64
 SIMILARITY = 0.8
 MIN_CHARS = 20
 GROUP_ROWS = 4_096
 CALL_ROWS = 2_048
 #: Buckets of up to SMALL lines are thinned by sketches that must agree in AGREE of 64 bits.
-SMALL, AGREE = 64, 48
+SMALL, AGREE = 64, 50
 BLOOM_BITS = 26
 _BINS = BANDS * ROWS
 _U = np.uint64
@@ -63,6 +63,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles in order, and how many each line has (repeats included)."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - SHINGLE + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * _U(0x9E3779B97F4A7C15) + codes[k : k + n]
+    line = np.repeat(np.arange(len(lines)), size)
+    return _mix(h)[line[:n] == line[SHINGLE - 1 :]], size - SHINGLE + 1
+
+
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Band keys, the place of the line that has each, and its sketch; lines are at least SHINGLE characters long.
 
@@ -71,16 +83,8 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     signatures with a permutation for each value; those between have both,
     since similar lines may lie on either side of the limit.
     """
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = h * _U(0x9E3779B97F4A7C15) + codes[k : k + n]
-    h = _mix(h)
-    line = np.repeat(np.arange(len(lines)), size)
-    inside = line[:n] == line[SHINGLE - 1 :]
-    h, line, own = h[inside], line[:n][inside], size - SHINGLE + 1
+    h, own = shingle_hashes(lines)
+    line = np.repeat(np.arange(len(lines)), own)
     many, few = np.flatnonzero(own >= FEW), np.flatnonzero(own < 2 * FEW)
     keys, places, sketches = [], [], []
     if len(many):
@@ -250,13 +254,25 @@ def link_lines(lines: list[str], similarity: float, side: list[int] | None = Non
             i = comp[i]
         return i
 
+    hashes, counts = shingle_hashes(lines)
+    ends = np.cumsum(counts)
     held: dict[int, frozenset] = {}
 
+    def hashed(i: int) -> frozenset:
+        if i not in held:
+            held[i] = frozenset(hashes[ends[i] - counts[i] : ends[i]].tolist())
+        return held[i]
+
     def alike(i: int, j: int) -> bool:
-        a, b = (held.get(x) or held.setdefault(x, shingles(lines[x])) for x in (i, j))
-        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        a, b = hashed(i), hashed(j)
+        if min(len(a), len(b)) < (similarity - 0.02) * max(len(a), len(b)):
             return False
         both = len(a & b)
+        found = both / (len(a) + len(b) - both)
+        if abs(found - similarity) > 0.02:  # more than any collision of hashes could move it
+            return found > similarity
+        a, b = shingles(lines[i]), shingles(lines[j])
+        both = len(a & b)
         return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
     keys, at, _ = band_keys(lines)
