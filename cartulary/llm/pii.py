@@ -157,7 +157,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     held = found.filter(F.size("spans") > 0).select("key", F.explode("spans").alias("span")).select("key", _entity(F.col("span")).alias("entity")).distinct()
     hits = held.join(reveal, "entity").groupBy("key").agg(F.collect_set(F.struct("term", "general")).alias("terms"))
     texts = found.filter(F.size("spans") > 0).groupBy("key").agg(F.first("text").alias("text"))
-    more = texts.join(hits, "key").select("key", term_spans(F.col("text"), F.col("terms")).alias("more"))
+    # Written first, so that the last join is of two plain tables: broadcast if small, else split where copies make a key hot.
+    more = stash(texts.join(hits, "key").select("key", term_spans(F.col("text"), F.col("terms")).alias("more")), "pii-more")
     return found.join(more, "key", "left").withColumn("more", F.coalesce("more", F.array().cast(SPANS)))
 
 
