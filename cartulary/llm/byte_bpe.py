@@ -284,6 +284,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 out = whole(1, b"")
                 same = [a == b.as_buffer().to_pybytes() if b.is_valid else False for a, b in zip(out, part.column(1), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(ids_hex, pa.string()), pa.array([sha(x).hexdigest() for x in out], pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+        # A worker outlives the task and must not hold memos through other jobs.
+        encode.clear()
+        rarely.clear()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
