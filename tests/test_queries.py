@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from cartulary.plans import catalog
@@ -13,7 +14,7 @@ def rows(df):
     cols = sorted(df.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
             return None
         if isinstance(v, (float, np.floating)):
             return round(float(v), 5)
