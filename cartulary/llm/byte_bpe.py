@@ -254,8 +254,11 @@ def build_dictionary(docs: DataFrame, table_: RankTable, pattern: str, dictionar
     return stash(spread.select("word", table_.encode(F.col("word")).alias("ids")).select("word", "ids", table_.decode(F.col("ids")).alias("decoded")), "bpe-dictionary")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-    """doc_id, ids array<int>-digest columns of every row: n_tokens, ids_sha256, decoded_sha256, round_trip."""
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip of every row.
+
+    ``keep``: a worker keeps the dictionary for its next task; without, other jobs of the session have that memory.
+    """
     ranks = read_ranks(ranks_path)
     rows = texts_of(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -287,6 +290,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         # A worker outlives the task and must not hold memos through other jobs.
         encode.clear()
         rarely.clear()
+        if not keep:
+            _state.clear()
+            pa.default_memory_pool().release_unused()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
@@ -336,4 +342,4 @@ def query_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
