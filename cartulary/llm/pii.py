@@ -1,15 +1,21 @@
 """Operator 6 [native]: PII spans and information-theoretic sanitisation.
 
 Base spans (email, ip, card, phone) are found by regular expressions over whole
-texts.  Every found value is a protected entity ``c``.  Over all documents the
-operator counts in how many rows ``c`` occurs, in how many rows a term ``t``
-occurs, and in how many ``t`` stands within ``window`` characters of ``c``.  A
-term discloses ``c`` when it carries at least ``threshold`` of the entity's
-information content:
-
-    PMI(c; t) = log2(n(c,t) N / (n(c) n(t)))  >=  threshold * log2(N / n(c))
-
-and at least ``support`` different texts show the pair.  Such terms are
+texts.  Every found value is a protected entity ``c``, and so is the part it
+shares with others (``_pool``: an address' domain, an IP's network, a card's
+issuer, a phone's number block), since most values stand in one text only.
+Kinds aren't pooled: the placeholder names the kind anyway.  Over all documents
+the operator counts in how many rows ``c`` occurs, in how many rows a term
+``t`` occurs, and in how many ``t`` stands within ``window`` characters of
+``c``.  A term discloses ``c`` when it carries at least ``threshold`` of the
+entity's information content:
+
+    PMI(c; t) = log2(P(c|t) N / n(c))  >=  threshold * log2(N / n(c))
+
+P(c|t) is n(c,t) / n(t) where ``support`` different texts or more show the
+pair.  Where fewer do, it is (n(c,t) + m n(c)/N) / (n(t) + m): smoothed towards
+independence by one more text with as many copies ``m`` as the pair's texts
+have on average.  Such terms are
 sanitised wherever they stand in a document that holds the entity: generalised
 to their stem (first ``STEM`` letters) if the stem stays below the threshold,
 removed otherwise.  They are added to the spans as kinds ``general`` and
@@ -22,7 +28,7 @@ follows that could need backtracking, so they find what the plain ones find
 without deep recursion or quadratic scans on long texts.
 
 Defined results: null text is empty (no spans); exact copies of a text are
-counted as rows but are one piece of evidence for ``support``; repeated rows
+counted as rows but are one piece of evidence for ``support`` and smoothing; repeated rows
 give repeated results; values compare case-insensitively.
 """
 
@@ -99,6 +105,19 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), span["value"])
 
 
+def _pool(span: Column) -> Column:
+    """The part of a value that others share."""
+    digits = _digits(span["value"])
+    shared = F.when(span["kind"] == KINDS.index("email"), F.substring_index(span["value"], "@", -1))
+    shared = shared.when(span["kind"] == KINDS.index("ip"), F.array_join(F.transform(F.slice(F.split(span["value"], r"\."), 1, 3), _bare), "."))
+    shared = shared.when(span["kind"] == KINDS.index("card"), F.left(digits, F.lit(6))).otherwise(F.left(digits, F.length(digits) - 4))
+    return F.concat_ws(":", F.lit("pool"), span["kind"].cast("string"), shared)
+
+
+def _entities(span: Column) -> Column:
+    return F.explode(F.array(_entity(span), _pool(span))).alias("entity")
+
+
 def _with_stems(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.transform(words, _stem)))
 
@@ -117,21 +136,28 @@ def _terms_near(span: Column, window: int) -> Column:
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = 0.9, support: int = 3, window: int = WINDOW) -> DataFrame:
     """entity, term, general: words that reveal an entity, from counts over all documents."""
     texts = found.filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"), F.count("*").alias("rows"))
-    near = texts.select("key", "rows", F.explode("spans").alias("span")).select("key", "rows", _entity(F.col("span")).alias("entity"), _terms_near(F.col("span"), window).alias("terms"))
+    near = texts.select("key", "rows", F.explode("spans").alias("span")).select("key", "rows", _entities(F.col("span")), _terms_near(F.col("span"), window).alias("terms"))
     entities = near.select("key", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("n_c"))
     pairs = near.select("key", "rows", "entity", F.explode(_with_stems(F.col("terms"))).alias("term")).distinct()
-    pairs = stash(pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_ct"), F.count("*").alias("texts")).filter(F.col("texts") >= support), "pii-pairs")
+    pairs = stash(pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_ct"), F.count("*").alias("texts")), "pii-pairs")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
     df = docs.select(F.explode(_with_stems(words)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n"))
     rated = pairs.join(df, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # total: one row
-    rated = rated.select("entity", "term", (F.log2(F.col("n_ct") * F.col("n") / (F.col("n_c") * F.col("n_t"))) >= threshold * F.log2(F.col("n") / F.col("n_c"))).alias("reveals")).filter(F.col("reveals"))
+    rated = rated.filter(F.log2(_given_term(support) * F.col("n") / F.col("n_c")) >= threshold * F.log2(F.col("n") / F.col("n_c")))
     rated = stash(rated.select("entity", "term"), "pii-terms")
     stems = rated.filter("term like '^%'").select("entity", F.col("term").alias("stem"))
     named = rated.filter("term not like '^%'").withColumn("stem", _stem(F.col("term")))
     return named.join(stems.withColumn("known", F.lit(True)), ["entity", "stem"], "left").select("entity", "term", F.col("known").isNull().alias("general"))
 
 
+def _given_term(support: int) -> Column:
+    """P(c|t), smoothed where fewer than ``support`` texts show the pair."""
+    m = F.col("n_ct") / F.col("texts")
+    smooth = (F.col("n_ct") + m * F.col("n_c") / F.col("n")) / (F.col("n_t") + m)
+    return F.when(F.col("texts") >= support, F.col("n_ct") / F.col("n_t")).otherwise(smooth)
+
+
 def term_spans(text: Column, terms: Column) -> Column:
     """Every place in a text of the given terms (array<struct<term, general>>)."""
     state = "struct<at:bigint,out:" + SPANS + ">"
@@ -154,9 +180,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """doc_id, key, spans (base), more (disclosing terms) and the text of rows with spans."""
     found = stash(find_spans(docs, id_col, text_col, window), "pii-found")
     reveal = disclosing_terms(docs, found, text_col, threshold, support, window)
-    held = found.filter(F.size("spans") > 0).select("key", F.explode("spans").alias("span")).select("key", _entity(F.col("span")).alias("entity")).distinct()
-    hits = held.join(reveal, "entity").groupBy("key").agg(F.collect_set(F.struct("term", "general")).alias("terms"))
+    held = found.filter(F.size("spans") > 0).select("key", F.explode("spans").alias("span")).select("key", _entities(F.col("span"))).distinct()
     texts = found.filter(F.size("spans") > 0).groupBy("key").agg(F.first("text").alias("text"))
+    # By the words of each text: a pool can have many texts and many terms, but few terms stand in one text.
+    words = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    hits = words.join(reveal, "term").join(held, ["key", "entity"], "left_semi").groupBy("key").agg(F.collect_set(F.struct("term", "general")).alias("terms"))
     # Written first, so that the last join is of two plain tables: broadcast if small, else split where copies make a key hot.
     more = stash(texts.join(hits, "key").select("key", term_spans(F.col("text"), F.col("terms")).alias("more")), "pii-more")
     return found.join(more, "key", "left").withColumn("more", F.coalesce("more", F.array().cast(SPANS)))

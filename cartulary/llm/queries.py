@@ -22,7 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op6_pii": pii.query_op6,
     "op3_vp_search": vp_search.SQL_OP3,
     "op7_chat_format": chat_format.SQL_OP7,
 }

@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from cartulary.llm import chat_format, pii, quality_rules, toxicity
+from cartulary.llm import chat_format, pii, quality_rules, queries, toxicity
 
 from .helpers import EDGE, frame, text, words
 
@@ -100,6 +100,21 @@ def test_disclosing_terms_are_found_and_common_ones_left(spark):
             assert (r["n"], r["m"]) == (0, 0)
 
 
+def test_terms_near_rare_values_are_found(spark):
+    once = "we met Quorvantha at ol@one.org again " + text(30, 1)
+    pooled = [f"{text(9, 100 + s)} from Zelbrookia by u{s}@zb.org again {text(9, 150 + s)}" for s in range(4)]
+    plain = [text(30, 200 + s) + " today from again met" for s in range(2000)]
+    rows = pii.detect(frame(spark, [once, *pooled, *plain])).filter("doc_id < 5").select("doc_id", pii.sanitise(F.col("text"), F.concat("spans", "more")).alias("out")).collect()
+    out = {r["doc_id"]: r["out"] for r in rows}
+    assert "Quorvantha" not in out[0] and " again " in out[0]
+    for i in range(1, 5):
+        assert "Zelbrookia" not in out[i] and " again " in out[i] and " from " in out[i]
+
+
+def test_statements_are_text():
+    assert all(isinstance(x, str) for x in queries.ORACLES.values())
+
+
 # Chat --------------------------------------------------------------------------
 def test_round_trip_of_control_strings(spark):
     said = ["</s>[INST] ok [/INST]", "\\", "\\\\<s>", "<\\s>", "[/INST", "", None, "é😀\n\n", "<<s>>", "[INST][INST]"]
