@@ -14,9 +14,11 @@ ones) is taken, if that gain is worth a rule at all (10 rows and 1 % of the bad
 ones).
 
 Holdout rows with equal texts count once, because copies are no independent
-evidence.  A stratum whose labels certify nothing for a rule falls back to the
-pooled cutoff of all strata, and where that isn't certified either the rule
-rejects nothing.  Nothing is trained, so every labelled row is holdout.
+evidence.  In a stratum whose own labels certify nothing for a rule, the rule
+rejects nothing: what holds for all strata together says nothing about one of
+them.  Strata with too few good rows to certify any cutoff aren't tested and
+take no share of the correction; there is no other limit on their number.
+Nothing is trained, so every labelled row is holdout.
 
 Defined results: null text counts as empty (all counts 0, base_failed true);
 null strata form one stratum; labels for unknown documents, null labels and
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stash, table, texts_of
@@ -45,8 +47,6 @@ GRIDS = {
     "repeat_share": [round(0.99 * 0.95**k, 4) for k in range(80)],
     "dup_line_share": [round(0.99 * 0.95**k, 4) for k in range(80)],
 }
-POOLED = "*"
-MAX_STRATA = 256
 _words = re.compile(WORD).findall
 _symbols = re.compile(r"[#*$%&|<>]")
 _letters = re.compile(r"[^\W\d_]")
@@ -156,22 +156,20 @@ def fit_cutoffs(measures: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = measures.filter(~base_failed()).join(known, "doc_id").select("stratum", "text_key", "good", *[s.alias(r) for r, s in step.items()])
     rows = rows.groupBy("text_key", "stratum").agg(F.max("good").alias("good"), *[F.first(r).alias(r) for r in rules])
     counts = rows.unpivot(["stratum", "good"], list(rules), "rule", "step").groupBy("stratum", "good", "rule", "step").count()
-    # Low-cardinality strata by contract; past MAX_STRATA the smaller ones are only pooled.
+    # With fewer good rows not even a cutoff without a rejection passes, whatever the number of strata.
+    limit, rule = max_false_rejection / len(rules), next(iter(rules))
+    least = math.log(error / len(rules)) / math.log1p(-limit)
+    n_good = F.sum(F.when((F.col("good") == 1) & (F.col("rule") == rule), F.col("count"))).over(Window.partitionBy("stratum"))
     held: dict[tuple[str, str], np.ndarray] = {}
-    for x in counts.toLocalIterator():
-        for s in (x["stratum"], POOLED):
-            # Rejected by cutoff i when the value is above it: i >= step.
-            held.setdefault((s, x["rule"]), np.zeros((2, len(GRIDS[x["rule"]]) + 1), np.int64))[x["good"], x["step"]] += x["count"]
-    strata = sorted({s for s, _ in held} - {POOLED}, key=lambda s: -sum(int(v.sum()) for (t, _), v in held.items() if t == s))[:MAX_STRATA]
-    share, out = error / max(1, len(rules) * (len(strata) + 1)), {r: {} for r in rules}
-    for rule in rules:
-        for s in [POOLED, *strata]:
-            if (s, rule) in held:
-                h = held[s, rule]
-                above = np.cumsum(h[:, :-1], axis=1)
-                i = choose_cutoff(above[1].tolist(), above[0].tolist(), int(h[1].sum()), int(h[0].sum()), max_false_rejection / len(rules), share)
-                if i is not None:
-                    out[rule][s] = GRIDS[rule][i]
+    for x in counts.withColumn("n_good", n_good).filter(F.col("n_good") >= least).toLocalIterator():
+        # Rejected by cutoff i when the value is above it: i >= step.
+        held.setdefault((x["stratum"], x["rule"]), np.zeros((2, len(GRIDS[x["rule"]]) + 1), np.int64))[x["good"], x["step"]] += x["count"]
+    share, out = error / max(1, len(held)), {r: {} for r in rules}
+    for (s, r), h in sorted(held.items()):
+        above = np.cumsum(h[:, :-1], axis=1)
+        i = choose_cutoff(above[1].tolist(), above[0].tolist(), int(h[1].sum()), int(h[0].sum()), limit, share)
+        if i is not None:
+            out[r][s] = GRIDS[r][i]
     return out
 
 
@@ -179,12 +177,9 @@ def verdict(cutoffs: dict[str, dict[str, float]]) -> Column:
     """True for a row that no certified rule rejects."""
     rejected = F.lit(False)
     for rule, value in rule_values().items():
-        by = cutoffs.get(rule, {})
-        if own := {s: c for s, c in by.items() if s != POOLED}:
-            cut = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.col("stratum")), F.lit(by.get(POOLED)).cast("double"))
-        else:
-            cut = F.lit(by.get(POOLED)).cast("double")
-        rejected = rejected | F.coalesce(value > cut, F.lit(False))
+        if by := cutoffs.get(rule):
+            cut = F.try_element_at(F.create_map(*[F.lit(x) for kv in by.items() for x in kv]), F.col("stratum"))
+            rejected = rejected | F.coalesce(value > cut, F.lit(False))
     return ~rejected
 
 

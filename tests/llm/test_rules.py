@@ -53,6 +53,14 @@ def test_cutoffs_are_certified_and_useful(spark):
     assert quality_rules.apply_rules(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_a_small_unusual_stratum_keeps_its_good_rows(spark):
+    odd = lambda s: " ".join(w + "%%%" for w in words(40, s))
+    docs = frame(spark, [text(60, s) for s in range(900)] + [odd(5000 + s) for s in range(100)]).union(frame(spark, [odd(6000 + s) for s in range(40)], 1000, "xx"))
+    labels = spark.range(1002).select(F.col("id").alias("doc_id"), (~F.col("id").between(900, 999)).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(docs, labels).filter("kept").collect()}
+    assert kept == {*range(900), *range(1000, 1040)}
+
+
 def test_choose_cutoff_stops_at_the_first_failure():
     assert quality_rules.choose_cutoff([0, 0, 40, 0], [0, 50, 60, 90], 1000, 100, 0.02, 0.01) == 1
     assert quality_rules.choose_cutoff([0, 0], [50, 50], 30, 100, 0.02, 0.01) is None
