@@ -1,25 +1,29 @@
 """Operator 9: fuzzy line dedup by MinHash.
 
-1. Every line of at least ``min_chars`` normalised characters (lower case, white
-   space collapsed) gets a 128-bit key and a one-permutation MinHash signature
-   of its character shingles, as ``BANDS`` band keys of ``ROWS`` values: 99.9 % of pairs at the
-   threshold share a key, unrelated lines hardly ever do.
-2. Lines with equal keys collapse to one; distinct lines that share a band key
-   are candidates.  Band buckets with the same least member are merged, so a
-   line's text travels once per such group and not once per band.
-3. Candidates' texts are fetched by a second scan behind a Bloom filter of fixed
-   size (false positives only cost a few rows) and verified: a pair is linked
-   if it shares a band and its exact shingle Jaccard is at least ``similarity``.
-   Pairs that are connected already are not compared, and a group of more than
-   ``group_rows`` lines is split into pieces, each pair of pieces its own task.
+1. Every line with a word (normalised: lower case, white space collapsed) gets a
+   128-bit key.  Lines of at least ``SHINGLE`` characters also get a MinHash
+   signature of their character shingles, as ``BANDS`` band keys of ``ROWS``
+   values: 99.8 % of pairs at the threshold share a key, unrelated lines hardly
+   ever do.  A task signs a line once, however often it reads it.
+2. Band keys are shuffled as packed blocks, so that a row of the exchange
+   holds thousands of them.  Distinct lines that share a band key are
+   candidates; buckets with the same least member are one group, so a line's
+   text travels once per group and not once per band.
+3. Candidates' texts are fetched by a second scan behind a Bloom filter of
+   (line, first document), so each text is fetched about once, and every group is
+   verified: two lines are linked if their exact shingle Jaccard is at least
+   ``similarity``.  Only lines that are not connected yet are compared.  A
+   group of more than ``group_rows`` lines is cut into pieces that share some
+   leaders; what these do not connect is compared with all pieces afterwards.
 4. Distributed union-find (connected components) over the links; of each
    component one line stays: the first one in the document with the smallest
    doc_id.
 
-Defined results: shorter and blank lines always stay; null texts stay null; rows
-that repeat a doc_id are one document (all of them keep what it keeps); rows
-with a null doc_id are left as they are; a document may lose all its lines and
-then has the empty text.
+Defined results: blank lines always stay; lines of fewer than ``SHINGLE``
+normalised characters are only equal or not; ``min_chars`` (1: all) leaves
+shorter lines alone; null texts stay null; rows that repeat a doc_id are one
+document (all of them keep what it keeps); rows with a null doc_id are left as
+they are; a document may lose all its lines and then has the empty text.
 """
 
 from __future__ import annotations
@@ -36,21 +40,31 @@ from cartulary.operators.graph import connected_components
 from .common import drop_stash, release, stash, table, texts_of
 
 SHINGLE = 5
-BANDS, ROWS = 16, 5
-#: Shingles from which one permutation serves all values.
+BANDS, ROWS = 27, 7
+#: Permutations that share the values of a long line's signature.
+TURNS = 3
+#: Shingles from which TURNS permutations serve all values.
 FEW = 64
 SIMILARITY = 0.8
-MIN_CHARS = 20
+MIN_CHARS = 1
 GROUP_ROWS = 4_096
 CALL_ROWS = 2_048
-#: Buckets of up to SMALL lines are thinned by sketches that must agree in AGREE of 64 bits.
-SMALL, AGREE = 64, 50
-BLOOM_BITS = 26
-_BINS = BANDS * ROWS
+#: Lines (about) that all pieces of a large group share.
+LEADERS = 32
+#: Groups from this size on are verified by counting into arrays, smaller ones by sets.
+LARGE = 32
+#: Characters that are hashed at once (arrays stay in the processor's cache), and signed per block.
+HASHED, SIGNED = 150_000, 4_000_000
+#: Bytes of band keys per task of their exchange.
+TASK_BYTES = 48 << 20
+BLOOM_BITS = 28
+_VALUES = BANDS * ROWS
+_BINS = _VALUES // TURNS
 _U = np.uint64
 _NONE = ~_U(0)
+_MIX = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)
 #: A product with an odd number permutes the hashes.
-_ODD = np.random.default_rng(9).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
+_ODD = np.random.default_rng(9).integers(0, 2**63, _VALUES, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def normalise(line: str) -> str:
@@ -58,9 +72,13 @@ def normalise(line: str) -> str:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
+    """Mixes the hashes where they stand."""
+    h ^= h >> _U(32)
+    h *= _MIX[2]
+    h ^= h >> _U(29)
+    h *= _MIX[0]
+    h ^= h >> _U(32)
+    return h
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,62 +86,78 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = h * _U(0x9E3779B97F4A7C15) + codes[k : k + n]
-    line = np.repeat(np.arange(len(lines)), size)
-    return _mix(h)[line[:n] == line[SHINGLE - 1 :]], size - SHINGLE + 1
-
-
-def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys, the place of the line that has each, and its sketch; lines are at least SHINGLE characters long.
-
-    Lines with ``FEW`` shingles or more get one-permutation signatures.  Few
-    shingles would leave most bins empty, so lines with less than ``2 * FEW`` get
-    signatures with a permutation for each value; those between have both,
-    since similar lines may lie on either side of the limit.
+    two = codes[:-1] * _MIX[0]
+    two += codes[1:]
+    h = two[:n] * _MIX[1]
+    h += two[2 : 2 + n]
+    h *= _MIX[2]
+    h += codes[SHINGLE - 1 :]
+    inside, ends = np.ones(len(codes), bool), np.cumsum(size)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    return _mix(h)[inside[:n]], size - SHINGLE + 1
+
+
+def runs(lines: list[str], chars: int) -> Iterator[slice]:
+    """Slices of about ``chars`` characters."""
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    begin = 0
+    while begin < len(lines):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + chars, "right")))
+        yield slice(begin, stop)
+        begin = stop
+
+
+def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and the place of the line that has each; lines are at least SHINGLE characters long.
+
+    Lines with ``FEW`` shingles or more get one-permutation signatures, ``TURNS``
+    of them.  Few shingles would leave most bins empty, so lines with less than
+    ``2 * FEW`` get signatures with a permutation for each value; those between
+    have both, since similar lines may lie on either side of the limit.
     """
-    h, own = shingle_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), own)
-    many, few = np.flatnonzero(own >= FEW), np.flatnonzero(own < 2 * FEW)
-    keys, places, sketches = [], [], []
-    if len(many):
-        at = np.full(len(lines), -1)
-        at[many] = np.arange(len(many))
-        take = at[line] >= 0
-        part = h[take]
-        least = np.full(len(many) * _BINS, _NONE)
-        np.minimum.at(least, at[line[take]] * _BINS + ((part >> _U(40)) * _U(_BINS) >> _U(24)).astype(np.int64), part)
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for run in runs(lines, HASHED):
+        h, own = shingle_hashes(lines[run])
+        many, few = np.flatnonzero(own >= FEW), np.flatnonzero(own < 2 * FEW)
+        if len(many):
+            keys.append(_banded(_one_permutation(h[np.repeat(own >= FEW, own)], own[many]), 1).ravel())
+            places.append(np.repeat(many + run.start, BANDS))
+        if len(few):
+            part, starts = h[np.repeat(own < 2 * FEW, own)], np.r_[0, np.cumsum(own[few])[:-1]]
+            least = np.stack([np.minimum.reduceat(part * odd, starts) for odd in _ODD], axis=1)
+            keys.append(_banded(least, 2).ravel())
+            places.append(np.repeat(few + run.start, BANDS))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def _one_permutation(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least hash of each of ``_BINS`` bins in every turn, one row per line."""
+    first, steps, out = np.repeat(np.arange(len(own)) * _BINS, own), np.arange(_BINS, dtype=np.int32), []
+    for odd in _ODD[:TURNS]:
+        turned = h * odd
+        at = turned >> _U(40)
+        at *= _U(_BINS)
+        at >>= _U(24)
+        least = np.full(len(own) * _BINS, _NONE)
+        np.minimum.at(least, first + at.astype(np.int64), turned)
         least = least.reshape(-1, _BINS)
         # An empty bin takes the value of the next full one, marked by how far it lies.
         twice = np.concatenate([least, least], axis=1)
-        full = np.where(twice != _NONE, np.arange(2 * _BINS), 4 * _BINS)
+        full = np.where(twice != _NONE, np.arange(2 * _BINS, dtype=np.int32), np.int32(4 * _BINS))
         after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
-        least = np.take_along_axis(twice, after, 1) + (after - np.arange(_BINS)).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-        keys.append(_banded(least, 1).ravel())
-        places.append(np.repeat(many, BANDS))
-        sketches.append(np.repeat(_sketch(least), BANDS))
-    if len(few):
-        part = h[(own < 2 * FEW)[line]]
-        starts = np.r_[0, np.cumsum(own[few])[:-1]]
-        least = np.stack([np.minimum.reduceat(part * odd, starts) for odd in _ODD], axis=1)
-        keys.append(_banded(least, 2).ravel())
-        places.append(np.repeat(few, BANDS))
-        sketches.append(np.repeat(_sketch(least), BANDS))
-    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (places, np.int64), (sketches, np.uint64)))
-
-
-def _sketch(values: np.ndarray) -> np.ndarray:
-    """One bit of each of 64 values: two lines agree in (1 + Jaccard) / 2 of them."""
-    bits = ((values[:, :64] >> _U(20)) & _U(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        out.append(np.take_along_axis(twice, after, 1) + (after - steps).astype(np.uint64) * _MIX[0])
+    return np.concatenate(out, axis=1)
 
 
 def _banded(values: np.ndarray, kind: int) -> np.ndarray:
     out = np.full((len(values), BANDS), _U(kind))
     for r in range(ROWS):
-        out = _mix(out * _U(31) + values[:, r * BANDS : (r + 1) * BANDS])
-    return _mix(out + np.arange(BANDS, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
+        out *= _U(31)
+        out += values[:, r * BANDS : (r + 1) * BANDS]
+        _mix(out)
+    out += np.arange(BANDS, dtype=np.uint64) * _MIX[1]
+    return _mix(out)
 
 
 def shingles(line: str) -> frozenset[str]:
@@ -138,9 +172,10 @@ def _keys(lines: list[str]) -> np.ndarray:
 
 def _lines_of(texts: list[str], min_chars: int) -> Iterator[tuple[int, int, str]]:
     """Place of the text, number of the line and normalised line, of every line that takes part."""
+    least = max(1, min_chars)
     for k, t in enumerate(texts):
         for i, x in enumerate(t.split("\n")):
-            if len(x) >= min_chars and len(y := normalise(x)) >= min_chars:
+            if len(x) >= least and len(y := normalise(x)) >= least:
                 yield k, i, y
 
 
@@ -163,165 +198,271 @@ def _taking_part(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts_of(docs, id_col, text_col).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def find_bands(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """key, h1, sketch: the band keys of every line, once per slice of a task's rows."""
+class Seen:
+    """The keys a task has met lately; bounded, so a key may pass again after very many others."""
+
+    def __init__(self, size: int = 500_000):
+        self.size, self.new, self.old = size, set(), set()
+
+    def first(self, key: int) -> bool:
+        if key in self.new or key in self.old:
+            return False
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, set()
+        self.new.add(key)
+        return True
+
+
+def find_bands(docs: DataFrame, id_col: str, text_col: str, min_chars: int, parts: int) -> DataFrame:
+    """part, block: band keys and the h1 of their lines, packed by part of the keys."""
+
+    def packed(lines: list[str], h1: list[int]) -> pa.RecordBatch:
+        keys, at = band_keys(lines)
+        part = (keys % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        rows = np.stack([keys[order].view(np.int64), np.array(h1, np.int64)[at[order]]], axis=1)
+        n = np.bincount(part, minlength=parts)
+        ends = np.r_[0, np.cumsum(n)].astype(np.int32) * 16
+        blocks = pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), blocks], ["part", "block"]).filter(pa.array(n > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, lines, h1, chars = Seen(), [], [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                lines = list({y for _, _, y in _lines_of(batch.column(0).slice(k, 512).to_pylist(), min_chars)})
-                if lines:
-                    keys, at, sketch = band_keys(lines)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(_keys(lines)[at, 0]), pa.array(sketch.view(np.int64))], ["key", "h1", "sketch"])
-
-    return _taking_part(docs, id_col, text_col).select("text").mapInArrow(run, "key long, h1 long, sketch long")
+            for k in range(0, batch.num_rows, 256):
+                found = list({y for _, _, y in _lines_of(batch.column(0).slice(k, 256).to_pylist(), min_chars) if len(y) >= SHINGLE})
+                for y, h in zip(found, _keys(found)[:, 0].tolist(), strict=True):
+                    if seen.first(h):
+                        lines.append(y)
+                        h1.append(h)
+                        chars += len(y)
+                if chars >= SIGNED:
+                    yield packed(lines, h1)
+                    lines, h1, chars = [], [], 0
+        if lines:
+            yield packed(lines, h1)
 
+    return _taking_part(docs, id_col, text_col).select("text").mapInArrow(run, "part int, block binary")
 
-def shared_groups(bands: DataFrame) -> DataFrame:
-    """lead, h1: lines of band buckets with two members or more, by the buckets' least member.
 
-    A member of a small bucket stays only if its sketch agrees with another's in
-    ``AGREE`` bits: 57.6 are expected at the threshold (deviation 2.4), 42 of lines
-    that share three shingles of ten.  Members of large buckets all stay.
-    """
+def shared_groups(bands: DataFrame, parts: int) -> DataFrame:
+    """lead, h1: the lines of band buckets with two members or more, by the buckets' least member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(b.column(k).to_numpy() for k in range(3)) for b in batches]
+        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for b in batches for x in b.column(0)]
         if held:
-            key, h, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = np.concatenate(held)
             held.clear()
+            order = np.argsort(rows[:, 0])
+            key = rows[order, 0]
+            again = np.r_[False, key[1:] == key[:-1]]
+            again[:-1] |= again[1:]
+            key, h = key[again], rows[order[again], 1]
+            del rows, order, again
             order = np.lexsort((h, key))
-            key, h, sketch = key[order], h[order], sketch[order].view(np.uint64)
-            once = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]
-            key, h, sketch = key[once], h[once], sketch[once]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, h = key[order], h[order]
+            once = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
+            key, h = key[once], h[once]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
             n = np.diff(np.r_[first, len(key)])
-            size, place = np.repeat(n, n), np.arange(len(key)) - np.repeat(first, n)
-            stays = size > SMALL
-            for far in range(1, int(min(n.max(initial=0), SMALL))):
-                i = np.flatnonzero((size <= SMALL) & (place + far < size))
-                i = i[np.bitwise_count(sketch[i] ^ sketch[i + far]) <= 64 - AGREE]
-                stays[i] = stays[i + far] = True
-            key, h = key[stays], h[stays]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            lead = np.repeat(h[first], np.diff(np.r_[first, len(key)]))
-            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(h)], ["lead", "h1"])
-
-    n_parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bands.repartition(n_parts, "key").mapInArrow(run, "lead long, h1 long").distinct()
-
-
-def bloom(lines: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter over h1; at most 2^bits / 64 words reach the driver, however many lines there are."""
+            lead, more = np.repeat(h[first], n), np.repeat(n > 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[more]), pa.array(h[more])], ["lead", "h1"])
+
+    return bands.repartition(parts, "part").select("block").mapInArrow(run, "lead long, h1 long").distinct()
+
+
+def bloom(lines: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of n rows over (h1, owner): 16 bits a row, at most 2^BLOOM_BITS, which is all that reaches the driver."""
+    bits = min(BLOOM_BITS, max(16, (16 * n).bit_length()))
     low = F.lit((1 << bits) - 1)
-    spots = lines.select(F.explode(F.array(F.col("h1").bitwiseAND(low), F.shiftrightunsigned("h1", 32).bitwiseAND(low))).alias("at"))
+    mixed = F.col("h1").bitwiseXOR(F.col("owner")).bitwiseXOR(F.shiftleft("owner", 32))
+    spots = lines.select(mixed.alias("x")).select(F.explode(F.array(F.col("x").bitwiseAND(low), F.shiftrightunsigned("x", 32).bitwiseAND(low))).alias("at"))
     words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("set").to_numpy()
     return out.view(np.uint64)
 
 
-def in_bloom(filter_: np.ndarray, h1: np.ndarray) -> np.ndarray:
-    h, low = h1.view(np.uint64), _U(len(filter_) * 64 - 1)
+def in_bloom(filter_: np.ndarray, h1: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    o = owner.view(np.uint64)
+    h, low = h1.view(np.uint64) ^ o ^ (o << _U(32)), _U(len(filter_) * 64 - 1)
     a, b = h & low, (h >> _U(32)) & low
     hit = lambda x: (filter_[(x >> _U(6)).astype(np.int64)] >> (x & _U(63))) & _U(1)
     return (hit(a) & hit(b)).astype(bool)
 
 
 def fetch_lines(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """h1, h2, line: the normalised text of every line that passes the filter."""
+    """h1, h2, line: the normalised text of every line that passes the filter in its document."""
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                lines = list({y for _, _, y in _lines_of(batch.column(0).slice(k, 256).to_pylist(), min_chars)})
-                if lines:
-                    h = _keys(lines)
-                    at = np.flatnonzero(in_bloom(shipped.value, np.ascontiguousarray(h[:, 0])))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array([lines[i] for i in at], pa.string())], ["h1", "h2", "line"])
+                part = batch.slice(k, 256)
+                found = list({(d, y) for d, _, y in _lines_of(part.column(1).to_pylist(), min_chars)})
+                if found:
+                    h = _keys([y for _, y in found])
+                    owner = part.column(0).to_numpy()[[d for d, _ in found]]
+                    at = np.flatnonzero(in_bloom(shipped.value, np.ascontiguousarray(h[:, 0]), owner))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array([found[i][1] for i in at], pa.string())], ["h1", "h2", "line"])
 
-    return _taking_part(docs, id_col, text_col).select("text").mapInArrow(run, "h1 long, h2 long, line string").dropDuplicates(["h1", "h2"])
+    return _taking_part(docs, id_col, text_col).mapInArrow(run, "h1 long, h2 long, line string")
 
 
-def link_lines(lines: list[str], similarity: float, side: list[int] | None = None) -> np.ndarray:
-    """For each line the least place it is linked to: all pairs that share a band, exact Jaccard."""
-    comp = list(range(len(lines)))
+class Linker:
+    """Union-find over some lines, linked where their exact Jaccard is high enough.
 
-    def root(i: int) -> int:
-        while comp[i] != i:
-            comp[i] = comp[comp[i]]
-            i = comp[i]
+    ``asks``: only pairs with an asking line are compared (all lines, if not given);
+    ``labels``: lines with equal labels are connected already.
+    """
+
+    def __init__(self, lines: list[str], similarity: float, asks: list[bool] | None = None, labels: list[str] | None = None):
+        self.lines, self.similarity = lines, similarity
+        self.asks = np.ones(len(lines), bool) if asks is None else np.array(asks, bool)
+        self.parent = list(range(len(lines)))
+        if labels is not None:
+            first: dict[str, int] = {}
+            self.parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
+        self.sets: dict[int, frozenset] = {}
+        self.hashes: list[np.ndarray] = []
+        for run in runs(lines, HASHED):
+            h, own = shingle_hashes(lines[run])
+            self.hashes += np.split(h, np.cumsum(own)[:-1])
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    hashes, counts = shingle_hashes(lines)
-    ends = np.cumsum(counts)
-    held: dict[int, frozenset] = {}
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
 
-    def hashed(i: int) -> frozenset:
-        if i not in held:
-            held[i] = frozenset(hashes[ends[i] - counts[i] : ends[i]].tolist())
-        return held[i]
+    def hashed(self, i: int) -> frozenset:
+        if i not in self.sets:
+            self.sets[i] = frozenset(self.hashes[i].tolist())
+        return self.sets[i]
 
-    def alike(i: int, j: int) -> bool:
-        a, b = hashed(i), hashed(j)
-        if min(len(a), len(b)) < (similarity - 0.02) * max(len(a), len(b)):
+    def exact(self, i: int, j: int) -> bool:
+        a, b = shingles(self.lines[i]), shingles(self.lines[j])
+        both = len(a & b)
+        return both >= self.similarity * (len(a) + len(b) - both) - 1e-9
+
+    def alike(self, i: int, j: int) -> bool:
+        a, b = self.hashed(i), self.hashed(j)
+        if min(len(a), len(b)) < (self.similarity - 0.02) * max(len(a), len(b)):
             return False
         both = len(a & b)
         found = both / (len(a) + len(b) - both)
-        if abs(found - similarity) > 0.02:  # more than any collision of hashes could move it
-            return found > similarity
-        a, b = shingles(lines[i]), shingles(lines[j])
-        both = len(a & b)
-        return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-    keys, at, _ = band_keys(lines)
-    order = np.lexsort((at, keys))
-    keys, at = keys[order], at[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    for begin, stop in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-        if stop - begin > 1:
-            parts: dict[int, list[int]] = {}
-            for i in at[begin:stop].tolist():
-                own = root(i)
-                for other in [p for p in parts if p != own]:
-                    if any(alike(i, j) for j in parts[other] if side is None or side[i] != side[j]):
-                        low, high = min(own, other), max(own, other)
-                        comp[high] = low
-                        parts[low] = parts.pop(low, []) + parts.pop(high, [])
-                        own = low
-                parts.setdefault(own, []).append(i)
-    return np.array([root(i) for i in range(len(lines))])
+        if abs(found - self.similarity) > 0.02:  # more than any collision of hashes could move it
+            return found > self.similarity
+        return self.exact(i, j)
+
+    def link(self, members: list[int]) -> None:
+        """Connects all similar lines of a group."""
+        if len(members) >= LARGE:
+            return self._link_large(np.array(members))
+        for k, j in enumerate(members):
+            for i in members[:k]:
+                if (self.asks[i] or self.asks[j]) and self.root(i) != self.root(j) and self.alike(i, j):
+                    self.join(i, j)
+
+    def _link_large(self, members: np.ndarray) -> None:
+        """One line at a time is compared with all others at once, until all that is left outside the largest part has been."""
+        chosen = [self.hashes[i] for i in members.tolist()]
+        known, ids = np.unique(np.concatenate(chosen), return_inverse=True)
+        # Each line's shingles once, as small numbers.
+        pairs = np.unique(np.repeat(np.arange(len(members)), list(map(len, chosen))) * len(known) + ids)
+        size = np.bincount(pairs // len(known), minlength=len(members))
+        ids, starts = pairs % len(known), np.r_[0, np.cumsum(size)]
+        part = np.array([self.root(i) for i in members.tolist()])
+        marked, done = np.zeros(len(known), bool), np.zeros(len(members), bool)
+        while True:
+            names, n = np.unique(part, return_counts=True)
+            left = np.flatnonzero(~done & (part != names[np.argmax(n)])) if len(names) > 1 else ()
+            if not len(left):
+                return
+            k = int(left[0])
+            done[k] = True
+            own = ids[starts[k] : starts[k + 1]]
+            marked[own] = True
+            both = np.add.reduceat(marked[ids], starts[:-1], dtype=np.int64)
+            marked[own] = False
+            found = both / (size + size[k] - both)
+            may = (part != part[k]) & (self.asks[members] | self.asks[members[k]])
+            hits = np.flatnonzero(may & (found > self.similarity + 0.02))
+            near = np.flatnonzero(may & (np.abs(found - self.similarity) <= 0.02))
+            for x in [*hits.tolist(), *near.tolist()]:
+                i, j = int(members[k]), int(members[x])
+                if part[x] != part[k] and (found[x] > self.similarity + 0.02 or self.exact(i, j)):
+                    self.join(i, j)
+                    part[(part == part[x]) | (part == part[k])] = self.root(i)
+
+
+def _link_call(t: pa.Table, similarity: float) -> pa.Table:
+    """u, v (line ids) of one call: columns id, line, lead and, after a first round, asks and label."""
+    place: dict[str, int] = {}
+    held: dict[int, set[int]] = {}
+    lines, labels, asks = [], [], []
+    rows = t.sort_by("id")
+    for i, x, lead, a, label in zip(*[rows.column(c).to_pylist() for c in ("id", "line", "lead", "asks", "label")], strict=True):
+        if i not in place:
+            place[i] = len(lines)
+            lines.append(x)
+            labels.append(label or i)
+            asks.append(a)
+        asks[place[i]] |= a
+        held.setdefault(lead, set()).add(place[i])
+    linker, names = Linker(lines, similarity, asks, labels), list(place)
+    before = list(linker.parent)
+    for members in held.values():
+        linker.link(sorted(members))
+    pairs = [(names[i], names[linker.root(i)]) for i in range(len(lines)) if linker.root(i) != linker.root(before[i]) or linker.root(i) != before[i]]
+    return pa.table({"u": pa.array([p[0] for p in pairs], pa.string()), "v": pa.array([p[1] for p in pairs], pa.string())})
 
 
 def line_links(groups: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """u, v (line ids): links that connect all similar lines of every group.
 
-    Small groups share calls of about ``CALL_ROWS`` lines; a large one is cut into pieces.
+    Small groups share calls of about ``CALL_ROWS`` lines.  A larger one is cut
+    into pieces, each verified together with the group's leaders.  Lines that
+    this leaves outside the group's largest component are then compared with
+    all pieces: no pair of unconnected lines is left out, and a group whose
+    copies resemble its leaders costs no more than its size.
     """
+    named = texts.select("h1", line_id().alias("id"), "line")
     sizes = groups.groupBy("lead").count().filter(F.col("count") > group_rows)
     big = stash(sizes.select("lead", F.ceil(F.col("count") / group_rows).cast("int").alias("pieces")), "lines-large")
     calls = max(1, groups.count() // CALL_ROWS)
-    rows = groups.withColumns({"mine": F.lit(0), "piece": F.lit(-1), "other": F.lit(-1)})
-    cut = None
-    if not big.isEmpty():
-        cut = groups.join(big, "lead").withColumn("mine", F.pmod(F.xxhash64("h1"), F.col("pieces")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        cut = cut.select("lead", "h1", "mine", F.least("mine", "with").alias("piece"), F.greatest("mine", "with").alias("other"))
-        rows = rows.join(big, "lead", "left_anti")
-    rows = rows.select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), "h1", "mine", "piece", "other").distinct()
-    if cut is not None:
-        rows = rows.unionByName(cut.withColumnRenamed("lead", "call"))
-
-    def run(t: pa.Table) -> pa.Table:
-        held = dict(zip(t.column("id").to_pylist(), zip(t.column("line").to_pylist(), t.column("mine").to_pylist(), strict=True), strict=True))
-        ids = sorted(held)
-        mine = [held[i][1] for i in ids]
-        comp = link_lines([held[i][0] for i in ids], similarity, mine if min(mine) != max(mine) else None)
-        pairs = [(ids[i], ids[c]) for i, c in enumerate(comp.tolist()) if c != i]
-        return pa.table({"u": pa.array([p[0] for p in pairs], pa.string()), "v": pa.array([p[1] for p in pairs], pa.string())})
-
-    named = texts.select("h1", line_id().alias("id"), "line")
-    return rows.join(named, "h1").groupBy("call", "piece", "other").applyInArrow(run, "u string, v string").distinct()
+    alone = {"asks": F.lit(True), "label": F.lit(None).cast("string")}
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.join(named, "h1").groupBy("call", "piece", "other").applyInArrow(lambda t: _link_call(t, similarity), "u string, v string").distinct()
+
+    if big.isEmpty():
+        return linked(groups.select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), F.lit(-1).alias("piece"), F.lit(-1).alias("other"), "lead", "h1").withColumns(alone))
+    small = groups.join(big, "lead", "left_anti").select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), F.lit(-1).alias("piece"), F.lit(-1).alias("other"), "lead", "h1")
+    cut = groups.join(big, "lead").withColumn("piece", F.pmod(F.xxhash64("h1"), F.col("pieces")).cast("int"))
+    leads = F.pmod(F.xxhash64("h1", F.lit("leader")), F.greatest(F.lit(1), F.floor(F.col("pieces") * group_rows / LEADERS))) == 0
+    leaders = cut.filter(leads).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    pieces = cut.unionByName(leaders).distinct().select(F.col("lead").alias("call"), "piece", F.lit(-1).alias("other"), "lead", "h1")
+    first = stash(linked(small.unionByName(pieces).withColumns(alone)), "lines-links-first")
+    # What a group's pieces and leaders did not connect is compared with the whole group.
+    ids = named.select("h1", "id").distinct()
+    parts = connected_components(first)
+    known = cut.join(ids, "h1").join(parts, F.col("id") == F.col("node"), "left").select("lead", "h1", "pieces", "piece", F.coalesce("component", "id").alias("label"))
+    known = stash(known, "lines-labels")
+    counts = known.groupBy("lead", "label").count()
+    main = stash(counts.groupBy("lead").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("rows"), F.max("count").alias("most")).filter("rows > most"), "lines-main")
+    if main.isEmpty():
+        return first
+    known = known.join(main, "lead").withColumn("outside", F.ceil((F.col("rows") - F.col("most")) / group_rows).cast("int"))
+    asking = known.filter("label <> main").withColumn("other", F.pmod(F.xxhash64("h1", F.lit("outside")), F.col("outside")).cast("int"))
+    asked = known.withColumns({"other": F.explode(F.sequence(F.lit(0), F.col("outside") - 1)), "asks": F.lit(False)})
+    asking = asking.withColumns({"piece": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)), "asks": F.lit(True)})
+    both = asking.unionByName(asked).select(F.col("lead").alias("call"), "piece", "other", "lead", "h1", "asks", "label")
+    return first.unionByName(linked(both)).distinct()
 
 
 def line_id():
@@ -332,25 +473,28 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, drop: the numbers (from 0) of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
     lines = stash(find_lines(docs, id_col, text_col, min_chars), "lines-found")
-    groups = stash(shared_groups(find_bands(docs, id_col, text_col, min_chars)), "lines-groups")
-    release(spark)
-    texts = stash(fetch_lines(docs, bloom(groups), id_col, text_col, min_chars), "lines-texts")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() * 16 * BANDS // TASK_BYTES)
+    groups = stash(shared_groups(find_bands(docs, id_col, text_col, min_chars, parts), parts), "lines-groups")
     release(spark)
+    near = groups.select("h1").distinct().withColumn("near", F.lit(True))
+    distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    known = stash(distinct.join(near, "h1", "left").filter("n > 1 or near").select("h1", "h2", "owner", "n", F.coalesce("near", F.lit(False)).alias("near"), line_id().alias("id")), "lines-known")
+    wanted = known.filter("near").select("h1", "owner")
+    texts = stash(fetch_lines(docs, bloom(wanted, wanted.count()), id_col, text_col, min_chars), "lines-texts")
     links = stash(line_links(groups, texts, similarity, group_rows), "lines-links")
     drop_stash(groups)
     drop_stash(texts)
     release(spark)
-    distinct = stash(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")), "lines-distinct")
-    parts = connected_components(links)
-    known = distinct.select("h1", "h2", "owner", "n", line_id().alias("id"))
-    member = parts.join(known, parts["node"] == known["id"]).select("h1", "h2", "component", "owner")
-    near = member.join(member.groupBy("component").agg(F.min("owner").alias("keeper")), "component").select("h1", "h2", "component", "keeper")
-    same = known.filter("n > 1").join(near, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("id").alias("component"), F.col("owner").alias("keeper"))
-    judged = lines.select("doc_id", "line_no", "h1", "h2").join(stash(near.unionByName(same), "lines-judged"), ["h1", "h2"])
+    member = stash(connected_components(links).join(known, F.col("node") == F.col("id")).select("h1", "h2", "component", "owner"), "lines-members")
+    # Written first: a join of plain tables is split where one component holds very many lines.
+    keepers = stash(member.groupBy("component").agg(F.min("owner").alias("keeper")), "lines-keepers")
+    near = member.join(keepers, "component").select("h1", "h2", "component", "keeper")
+    same = known.filter("n > 1").join(member, ["h1", "h2"], "left_anti").select("h1", "h2", F.col("id").alias("component"), F.col("owner").alias("keeper"))
+    judged = stash(lines.join(stash(near.unionByName(same), "lines-judged"), ["h1", "h2"]).select("doc_id", "line_no", "component", "keeper"), "lines-judged-places")
     release(spark)
     # In the keeper the component's first line stays.
-    first = judged.filter("doc_id = keeper").groupBy("doc_id", "component").agg(F.min("line_no").alias("first"))
-    gone = judged.join(first, ["doc_id", "component"], "left").filter("first is null or line_no <> first")
+    kept = judged.filter("doc_id = keeper").groupBy("component", "doc_id").agg(F.min("line_no").alias("line_no"))
+    gone = judged.select("doc_id", "line_no").join(kept.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
 
 

@@ -68,7 +68,7 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert simhash.stage_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
-def brute_lines(texts, similarity=0.8, least=20):
+def brute_lines(texts, similarity=0.8, least=1):
     where = defaultdict(list)
     for d, t in enumerate(texts):
         for i, x in enumerate((t or "").split("\n")):
@@ -77,7 +77,7 @@ def brute_lines(texts, similarity=0.8, least=20):
                 where[y].append((d, i))
     lines = list(where)
     sets = [line_dedup.shingles(x) for x in lines]
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
     comp = defaultdict(list)
     for i, c in enumerate(union_find(len(lines), links)):
         comp[c] += where[lines[i]]
@@ -118,7 +118,40 @@ def test_line_dedup_empty_table_and_columns(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     rng = np.random.default_rng(0)
-    h = rng.integers(-(2**63), 2**63 - 1, 500)
-    b = line_dedup.bloom(spark.createDataFrame([(int(x),) for x in h], "h1 long"), bits=14)
-    assert line_dedup.in_bloom(b, h).all()
-    assert line_dedup.in_bloom(b, rng.integers(-(2**63), 2**63 - 1, 500)).mean() < 0.2
+    h, d = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(0, 2**40, 5000)
+    b = line_dedup.bloom(spark.createDataFrame([(int(x), int(y)) for x, y in zip(h, d, strict=True)], "h1 long, owner long"), len(h))
+    assert line_dedup.in_bloom(b, h, d).all()
+    assert line_dedup.in_bloom(b, h, d + 1).mean() < 0.05
+    assert line_dedup.in_bloom(b, rng.integers(-(2**63), 2**63 - 1, 5000), d).mean() < 0.05
+
+
+def test_lines_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(5)
+    for n in (30, 70, 100, 160, 400):
+        found = pairs = 0
+        for _ in range(400):
+            a = "".join(rng.choice(list("abcdefghijklmnop"), n))
+            b = list(a)
+            for p in rng.choice(n, max(1, n // 55), replace=False):
+                b[p] = "z"
+            b = "".join(b)
+            x, y = line_dedup.shingles(a), line_dedup.shingles(b)
+            if 0.8 <= len(x & y) / len(x | y) < 0.86:
+                keys, at = line_dedup.band_keys([a, b])
+                pairs += 1
+                found += bool(set(keys[at == 0].tolist()) & set(keys[at == 1].tolist()))
+        assert pairs == 0 or found >= 0.985 * pairs, (n, found, pairs)
+
+
+def test_linker_equals_brute_force_for_small_and_large_groups():
+    base = [" ".join(words(30, s)) for s in range(3)]
+    lines = sorted({b.replace(x, "q", 1).replace(y, "zz", 1) for b in base for x in b.split()[:6] for y in b.split()[8:12]} | set(base))
+    sets = [line_dedup.shingles(x) for x in lines]
+    want = union_find(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert len(lines) > line_dedup.LARGE
+    for size in (len(lines), 2):
+        linker = line_dedup.Linker(lines, 0.8)
+        groups = [list(range(len(lines)))] if size > 2 else [[i, j] for i in range(len(lines)) for j in range(i)]
+        for g in groups:
+            linker.link(sorted(g))
+        assert [linker.root(i) for i in range(len(lines))] == want
