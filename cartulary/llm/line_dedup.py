@@ -43,6 +43,8 @@ SHINGLE = 5
 BANDS, ROWS = 27, 7
 #: Permutations that share the values of a long line's signature.
 TURNS = 3
+#: Code points from here on don't fit into five packed ones.
+NARROW = 1 << 12
 #: Shingles from which TURNS permutations serve all values.
 FEW = 64
 SIMILARITY = 0.8
@@ -55,8 +57,8 @@ LEADERS = 32
 LARGE = 32
 #: Characters that are hashed at once (arrays stay in the processor's cache), and signed per block.
 HASHED, SIGNED = 150_000, 4_000_000
-#: Bytes of band keys per task of their exchange.
-TASK_BYTES = 48 << 20
+#: Bytes of band keys per task of their exchange, if lines have LINE_BYTES.
+TASK_BYTES, LINE_BYTES = 64 << 20, 64
 BLOOM_BITS = 28
 _VALUES = BANDS * ROWS
 _BINS = _VALUES // TURNS
@@ -68,7 +70,13 @@ _ODD = np.random.default_rng(9).integers(0, 2**63, _VALUES, dtype=np.uint64) * _
 
 
 def normalise(line: str) -> str:
-    return " ".join(line.lower().split())
+    return _spaced(line.lower())
+
+
+def _spaced(line: str) -> str:
+    """Words of a line, one space between each."""
+    # A printable line has no white space but spaces.
+    return line.strip(" ") if "  " not in line and line.isprintable() else " ".join(line.split())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -82,16 +90,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles in order, and how many each line has (repeats included)."""
+    """64-bit hashes of all shingles in order, and how many each line has (repeats included).
+
+    Shingles of characters below ``NARROW`` fill 60 bits, so their hashes are as different as they are.
+    """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes) - SHINGLE + 1
-    two = codes[:-1] * _MIX[0]
-    two += codes[1:]
-    h = two[:n] * _MIX[1]
-    h += two[2 : 2 + n]
-    h *= _MIX[2]
-    h += codes[SHINGLE - 1 :]
+    two = codes[1:] << _U(12)
+    two |= codes[:-1]
+    h = two[2 : 2 + n] << _U(24)
+    h |= two[:n]
+    h |= codes[SHINGLE - 1 :] << _U(48)
+    wide = codes >= _U(NARROW)
+    if wide.any():
+        at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(wide, SHINGLE).any(axis=1))
+        mixed = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            mixed *= _MIX[1]
+            mixed += codes[at + k]
+            _mix(mixed)
+        h[at] = mixed | _U(1 << 63)
     inside, ends = np.ones(len(codes), bool), np.cumsum(size)
     for k in range(1, SHINGLE):
         inside[ends - k] = False
@@ -143,10 +162,12 @@ def _one_permutation(h: np.ndarray, own: np.ndarray) -> np.ndarray:
         np.minimum.at(least, first + at.astype(np.int64), turned)
         least = least.reshape(-1, _BINS)
         # An empty bin takes the value of the next full one, marked by how far it lies.
-        twice = np.concatenate([least, least], axis=1)
+        gaps = np.flatnonzero((least == _NONE).any(axis=1))
+        twice = np.concatenate([least[gaps], least[gaps]], axis=1)
         full = np.where(twice != _NONE, np.arange(2 * _BINS, dtype=np.int32), np.int32(4 * _BINS))
         after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :_BINS]
-        out.append(np.take_along_axis(twice, after, 1) + (after - steps).astype(np.uint64) * _MIX[0])
+        least[gaps] = np.take_along_axis(twice, after, 1) + (after - steps).astype(np.uint64) * _MIX[0]
+        out.append(least)
     return np.concatenate(out, axis=1)
 
 
@@ -174,26 +195,11 @@ def _lines_of(texts: list[str], min_chars: int) -> Iterator[tuple[int, int, str]
     """Place of the text, number of the line and normalised line, of every line that takes part."""
     least = max(1, min_chars)
     for k, t in enumerate(texts):
-        for i, x in enumerate(t.split("\n")):
-            if len(x) >= least and len(y := normalise(x)) >= least:
+        for i, x in enumerate(t.lower().split("\n")):
+            if len(y := _spaced(x)) >= least:
                 yield k, i, y
 
 
-def find_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no, h1, h2 of every line that takes part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                found = list(_lines_of(part.column(1).to_pylist(), min_chars))
-                if found:
-                    h = _keys([y for _, _, y in found])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _, _ in found])), pa.array([i for _, i, _ in found], pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "line_no", "h1", "h2"])
-
-    return _taking_part(docs, id_col, text_col).mapInArrow(run, "doc_id long, line_no int, h1 long, h2 long")
-
-
 def _taking_part(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts_of(docs, id_col, text_col).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -213,62 +219,92 @@ class Seen:
         return True
 
 
-def find_bands(docs: DataFrame, id_col: str, text_col: str, min_chars: int, parts: int) -> DataFrame:
-    """part, block: band keys and the h1 of their lines, packed by part of the keys."""
+def scan_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, parts: int) -> DataFrame:
+    """part, block: what one scan finds, packed into blocks of longs.
+
+    Blocks of a part below ``parts`` hold the band keys of that part and the
+    lines' h1; the others hold doc_id, line number, h1 and h2 of lines, dealt
+    evenly.
+    """
+
+    def block(rows: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        ends = (np.r_[0, np.cumsum(n)] * rows.shape[1] * 8).astype(np.int32)
+        blocks = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), blocks], ["part", "block"])
 
-    def packed(lines: list[str], h1: list[int]) -> pa.RecordBatch:
+    def signed(lines: list[str], h1: list[int]) -> pa.RecordBatch:
         keys, at = band_keys(lines)
         part = (keys % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
         order = np.argsort(part, kind="stable")
-        rows = np.stack([keys[order].view(np.int64), np.array(h1, np.int64)[at[order]]], axis=1)
         n = np.bincount(part, minlength=parts)
-        ends = np.r_[0, np.cumsum(n)].astype(np.int32) * 16
-        blocks = pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), blocks], ["part", "block"]).filter(pa.array(n > 0))
+        rows = np.stack([keys[order].view(np.int64), np.array(h1, np.int64)[at[order]]], axis=1)
+        return block(rows, np.flatnonzero(n), n[n > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, lines, h1, chars = Seen(), [], [], 0
+        seen, lines, h1, chars, turn = Seen(), [], [], 0, 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                found = list({y for _, _, y in _lines_of(batch.column(0).slice(k, 256).to_pylist(), min_chars) if len(y) >= SHINGLE})
-                for y, h in zip(found, _keys(found)[:, 0].tolist(), strict=True):
-                    if seen.first(h):
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = list(_lines_of(part.column(1).to_pylist(), min_chars))
+                if not found:
+                    continue
+                h = _keys([y for _, _, y in found])
+                doc = part.column(0).to_numpy()[[d for d, _, _ in found]]
+                turn = (turn + 1 + int(h[0, 0])) % parts
+                yield block(np.column_stack([doc, [i for _, i, _ in found], h]), np.array([parts + turn]), np.array([len(found)]))
+                for (_, _, y), x in zip(found, h[:, 0].tolist(), strict=True):
+                    if len(y) >= SHINGLE and seen.first(x):
                         lines.append(y)
-                        h1.append(h)
+                        h1.append(x)
                         chars += len(y)
                 if chars >= SIGNED:
-                    yield packed(lines, h1)
+                    yield signed(lines, h1)
                     lines, h1, chars = [], [], 0
         if lines:
-            yield packed(lines, h1)
+            yield signed(lines, h1)
 
-    return _taking_part(docs, id_col, text_col).select("text").mapInArrow(run, "part int, block binary")
+    return _taking_part(docs, id_col, text_col).mapInArrow(run, "part int, block binary")
 
 
-def shared_groups(bands: DataFrame, parts: int) -> DataFrame:
-    """lead, h1: the lines of band buckets with two members or more, by the buckets' least member."""
+def found_lines(blocks: DataFrame, parts: int) -> DataFrame:
+    """lead, h1: the lines of band buckets with two members or more, by the buckets' least member;
+    and, with a null lead, doc_id, line_no, h1 and h2 of every line."""
+    names = ["lead", "h1", "h2", "doc_id", "line_no"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for b in batches for x in b.column(0)]
+        held = []
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+                if part < parts:
+                    held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
+                else:
+                    doc, line, h1, h2 = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4).T
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(line.astype(np.int32))], names)
         if held:
             rows = np.concatenate(held)
             held.clear()
-            order = np.argsort(rows[:, 0])
-            key = rows[order, 0]
-            again = np.r_[False, key[1:] == key[:-1]]
-            again[:-1] |= again[1:]
-            key, h = key[again], rows[order[again], 1]
-            del rows, order, again
-            order = np.lexsort((h, key))
-            key, h = key[order], h[order]
-            once = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
-            key, h = key[once], h[once]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-            n = np.diff(np.r_[first, len(key)])
-            lead, more = np.repeat(h[first], n), np.repeat(n > 1, n)
-            yield pa.RecordBatch.from_arrays([pa.array(lead[more]), pa.array(h[more])], ["lead", "h1"])
-
-    return bands.repartition(parts, "part").select("block").mapInArrow(run, "lead long, h1 long").distinct()
+            lead, h = _shared(rows)
+            none = pa.nulls(len(h), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(h), none, none, none.cast(pa.int32())], names)
+
+    return blocks.repartition(parts, "part").mapInArrow(run, "lead long, h1 long, h2 long, doc_id long, line_no int")
+
+
+def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lead and member of every bucket, from (band key, member), that has two members or more."""
+    order = np.argsort(rows[:, 0])
+    key = rows[order, 0]
+    again = np.r_[False, key[1:] == key[:-1]]
+    again[:-1] |= again[1:]
+    key, h = key[again], rows[order[again], 1]
+    order = np.lexsort((h, key))
+    key, h = key[order], h[order]
+    once = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
+    key, h = key[once], h[once]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    n = np.diff(np.r_[first, len(key)])
+    lead, more = np.repeat(h[first], n), np.repeat(n > 1, n)
+    return lead[more], h[more]
 
 
 def bloom(lines: DataFrame, n: int) -> np.ndarray:
@@ -316,15 +352,17 @@ class Linker:
     ``labels``: lines with equal labels are connected already.
     """
 
-    def __init__(self, lines: list[str], similarity: float, asks: list[bool] | None = None, labels: list[str] | None = None):
+    def __init__(self, lines: list[str], similarity: float, asks: list[bool] | None = None, labels: list[int] | None = None):
         self.lines, self.similarity = lines, similarity
         self.asks = np.ones(len(lines), bool) if asks is None else np.array(asks, bool)
         self.parent = list(range(len(lines)))
         if labels is not None:
-            first: dict[str, int] = {}
+            first: dict[int, int] = {}
             self.parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
-        self.sets: dict[int, frozenset] = {}
+        self.sorted: dict[int, np.ndarray] = {}
         self.hashes: list[np.ndarray] = []
+        # Packed shingles equal no others, so one line without wide characters makes a count exact.
+        self.packed = np.array([x.isascii() or ord(max(x)) < NARROW for x in lines])
         for run in runs(lines, HASHED):
             h, own = shingle_hashes(lines[run])
             self.hashes += np.split(h, np.cumsum(own)[:-1])
@@ -339,25 +377,33 @@ class Linker:
         i, j = self.root(i), self.root(j)
         self.parent[max(i, j)] = min(i, j)
 
-    def hashed(self, i: int) -> frozenset:
-        if i not in self.sets:
-            self.sets[i] = frozenset(self.hashes[i].tolist())
-        return self.sets[i]
-
-    def exact(self, i: int, j: int) -> bool:
+    def distinct(self, i: int) -> np.ndarray:
+        """The line's shingles, sorted."""
+        h = self.sorted.get(i)
+        if h is None:
+            h = np.sort(self.hashes[i])
+            once = np.ones(len(h), bool)
+            np.not_equal(h[1:], h[:-1], out=once[1:])
+            h = self.sorted[i] = h[once]
+        return h
+
+    def exact(self, i: int, j: int, found: float) -> bool:
+        """The verdict on two lines with wide characters, whose shingles' hashes might collide."""
+        if abs(found - self.similarity) > 0.02:  # more than any collisions could move it
+            return found > self.similarity
         a, b = shingles(self.lines[i]), shingles(self.lines[j])
         both = len(a & b)
         return both >= self.similarity * (len(a) + len(b) - both) - 1e-9
 
     def alike(self, i: int, j: int) -> bool:
-        a, b = self.hashed(i), self.hashed(j)
+        a, b = self.distinct(i), self.distinct(j)
         if min(len(a), len(b)) < (self.similarity - 0.02) * max(len(a), len(b)):
             return False
-        both = len(a & b)
-        found = both / (len(a) + len(b) - both)
-        if abs(found - self.similarity) > 0.02:  # more than any collision of hashes could move it
-            return found > self.similarity
-        return self.exact(i, j)
+        merged = np.concatenate((a, b))
+        merged.sort()
+        both = np.count_nonzero(merged[1:] == merged[:-1])
+        found = both / (len(merged) - both)
+        return found >= self.similarity - 1e-12 if self.packed[i] or self.packed[j] else self.exact(i, j, found)
 
     def link(self, members: list[int]) -> None:
         """Connects all similar lines of a group."""
@@ -390,40 +436,37 @@ class Linker:
             both = np.add.reduceat(marked[ids], starts[:-1], dtype=np.int64)
             marked[own] = False
             found = both / (size + size[k] - both)
-            may = (part != part[k]) & (self.asks[members] | self.asks[members[k]])
-            hits = np.flatnonzero(may & (found > self.similarity + 0.02))
-            near = np.flatnonzero(may & (np.abs(found - self.similarity) <= 0.02))
-            for x in [*hits.tolist(), *near.tolist()]:
-                i, j = int(members[k]), int(members[x])
-                if part[x] != part[k] and (found[x] > self.similarity + 0.02 or self.exact(i, j)):
+            i = int(members[k])
+            for x in np.flatnonzero((part != part[k]) & (self.asks[members] | self.asks[i]) & (found > self.similarity - 0.02)).tolist():
+                j = int(members[x])
+                if part[x] != part[k] and (found[x] >= self.similarity - 1e-12 if self.packed[i] or self.packed[j] else self.exact(i, j, found[x])):
                     self.join(i, j)
                     part[(part == part[x]) | (part == part[k])] = self.root(i)
 
 
 def _link_call(t: pa.Table, similarity: float) -> pa.Table:
     """u, v (line ids) of one call: columns id, line, lead and, after a first round, asks and label."""
-    place: dict[str, int] = {}
+    place: dict[int, int] = {}
     held: dict[int, set[int]] = {}
     lines, labels, asks = [], [], []
-    rows = t.sort_by("id")
-    for i, x, lead, a, label in zip(*[rows.column(c).to_pylist() for c in ("id", "line", "lead", "asks", "label")], strict=True):
+    for i, x, lead, a, label in zip(*[t.column(c).to_pylist() for c in ("id", "line", "lead", "asks", "label")], strict=True):
         if i not in place:
             place[i] = len(lines)
             lines.append(x)
-            labels.append(label or i)
+            labels.append(label)
             asks.append(a)
         asks[place[i]] |= a
         held.setdefault(lead, set()).add(place[i])
     linker, names = Linker(lines, similarity, asks, labels), list(place)
-    before = list(linker.parent)
+    before = [linker.root(i) for i in range(len(lines))]
     for members in held.values():
         linker.link(sorted(members))
-    pairs = [(names[i], names[linker.root(i)]) for i in range(len(lines)) if linker.root(i) != linker.root(before[i]) or linker.root(i) != before[i]]
-    return pa.table({"u": pa.array([p[0] for p in pairs], pa.string()), "v": pa.array([p[1] for p in pairs], pa.string())})
+    pairs = [(names[i], names[linker.root(i)]) for i in range(len(lines)) if linker.root(i) != before[i]]
+    return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def line_links(groups: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """u, v (line ids): links that connect all similar lines of every group.
+    """u, v (line ids): links that connect all similar lines of every group (``texts``: id, h1, line).
 
     Small groups share calls of about ``CALL_ROWS`` lines.  A larger one is cut
     into pieces, each verified together with the group's leaders.  Lines that
@@ -431,56 +474,58 @@ def line_links(groups: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     all pieces: no pair of unconnected lines is left out, and a group whose
     copies resemble its leaders costs no more than its size.
     """
-    named = texts.select("h1", line_id().alias("id"), "line")
     sizes = groups.groupBy("lead").count().filter(F.col("count") > group_rows)
     big = stash(sizes.select("lead", F.ceil(F.col("count") / group_rows).cast("int").alias("pieces")), "lines-large")
     calls = max(1, groups.count() // CALL_ROWS)
-    alone = {"asks": F.lit(True), "label": F.lit(None).cast("string")}
 
     def linked(rows: DataFrame) -> DataFrame:
-        return rows.join(named, "h1").groupBy("call", "piece", "other").applyInArrow(lambda t: _link_call(t, similarity), "u string, v string").distinct()
+        return rows.groupBy("call", "piece", "other").applyInArrow(lambda t: _link_call(t, similarity), "u long, v long")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return linked(rows.join(texts, "h1").withColumns({"other": F.lit(-1), "asks": F.lit(True), "label": F.col("id")}))
+
+    def small(rows: DataFrame) -> DataFrame:
+        return rows.select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), F.lit(-1).alias("piece"), "lead", "h1")
 
     if big.isEmpty():
-        return linked(groups.select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), F.lit(-1).alias("piece"), F.lit(-1).alias("other"), "lead", "h1").withColumns(alone))
-    small = groups.join(big, "lead", "left_anti").select(F.pmod(F.xxhash64("lead"), F.lit(calls)).alias("call"), F.lit(-1).alias("piece"), F.lit(-1).alias("other"), "lead", "h1")
+        return first(small(groups))
     cut = groups.join(big, "lead").withColumn("piece", F.pmod(F.xxhash64("h1"), F.col("pieces")).cast("int"))
     leads = F.pmod(F.xxhash64("h1", F.lit("leader")), F.greatest(F.lit(1), F.floor(F.col("pieces") * group_rows / LEADERS))) == 0
     leaders = cut.filter(leads).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    pieces = cut.unionByName(leaders).distinct().select(F.col("lead").alias("call"), "piece", F.lit(-1).alias("other"), "lead", "h1")
-    first = stash(linked(small.unionByName(pieces).withColumns(alone)), "lines-links-first")
+    pieces = cut.unionByName(leaders).distinct().select(F.col("lead").alias("call"), "piece", "lead", "h1")
+    links = stash(first(small(groups.join(big, "lead", "left_anti")).unionByName(pieces)), "lines-links-first")
     # What a group's pieces and leaders did not connect is compared with the whole group.
-    ids = named.select("h1", "id").distinct()
-    parts = connected_components(first)
-    known = cut.join(ids, "h1").join(parts, F.col("id") == F.col("node"), "left").select("lead", "h1", "pieces", "piece", F.coalesce("component", "id").alias("label"))
-    known = stash(known, "lines-labels")
-    counts = known.groupBy("lead", "label").count()
-    main = stash(counts.groupBy("lead").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("rows"), F.max("count").alias("most")).filter("rows > most"), "lines-main")
+    known = cut.join(texts.select("h1", "id").distinct(), "h1").join(connected_components(links), F.col("id") == F.col("node"), "left")
+    known = stash(known.select("lead", "id", "pieces", "piece", F.coalesce("component", "id").alias("label")), "lines-labels")
+    most = known.groupBy("lead", "label").count().groupBy("lead")
+    main = stash(most.agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("rows"), F.max("count").alias("most")).filter("rows > most"), "lines-main")
     if main.isEmpty():
-        return first
+        return links
     known = known.join(main, "lead").withColumn("outside", F.ceil((F.col("rows") - F.col("most")) / group_rows).cast("int"))
-    asking = known.filter("label <> main").withColumn("other", F.pmod(F.xxhash64("h1", F.lit("outside")), F.col("outside")).cast("int"))
-    asked = known.withColumns({"other": F.explode(F.sequence(F.lit(0), F.col("outside") - 1)), "asks": F.lit(False)})
+    asking = known.filter("label <> main").withColumn("other", F.pmod(F.xxhash64("id"), F.col("outside")).cast("int"))
     asking = asking.withColumns({"piece": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)), "asks": F.lit(True)})
-    both = asking.unionByName(asked).select(F.col("lead").alias("call"), "piece", "other", "lead", "h1", "asks", "label")
-    return first.unionByName(linked(both)).distinct()
-
-
-def line_id():
-    return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
+    asked = known.withColumns({"other": F.explode(F.sequence(F.lit(0), F.col("outside") - 1)), "asks": F.lit(False)})
+    both = asking.unionByName(asked).select(F.col("lead").alias("call"), "piece", "other", "lead", "id", "asks", "label")
+    return links.unionByName(linked(both.join(texts.select("id", "line"), "id")))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, drop: the numbers (from 0) of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
-    lines = stash(find_lines(docs, id_col, text_col, min_chars), "lines-found")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() * 16 * BANDS // TASK_BYTES)
-    groups = stash(shared_groups(find_bands(docs, id_col, text_col, min_chars, parts), parts), "lines-groups")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LINE_BYTES * 16 * BANDS // TASK_BYTES)
+    found = stash(found_lines(scan_lines(docs, id_col, text_col, min_chars, parts), parts), "lines-found")
     release(spark)
+    lines = found.filter("lead is null").select("doc_id", "line_no", "h1", "h2")
+    groups = stash(found.filter("lead is not null").select("lead", "h1").distinct(), "lines-groups")
     near = groups.select("h1").distinct().withColumn("near", F.lit(True))
     distinct = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    known = stash(distinct.join(near, "h1", "left").filter("n > 1 or near").select("h1", "h2", "owner", "n", F.coalesce("near", F.lit(False)).alias("near"), line_id().alias("id")), "lines-known")
-    wanted = known.filter("near").select("h1", "owner")
-    texts = stash(fetch_lines(docs, bloom(wanted, wanted.count()), id_col, text_col, min_chars), "lines-texts")
+    known = distinct.join(near, "h1", "left").filter("n > 1 or near").select("h1", "h2", "owner", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    # Numbers that stay, as the table is written.
+    known = stash(known.withColumn("id", F.monotonically_increasing_id()), "lines-known")
+    wanted = known.filter("near")
+    fetched = fetch_lines(docs, bloom(wanted, wanted.count()), id_col, text_col, min_chars)
+    texts = stash(fetched.join(wanted.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "h1", "line"), "lines-texts")
     links = stash(line_links(groups, texts, similarity, group_rows), "lines-links")
     drop_stash(groups)
     drop_stash(texts)
