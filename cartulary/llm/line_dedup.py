@@ -540,7 +540,12 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # In the keeper the component's first line stays.
     kept = judged.filter("doc_id = keeper").groupBy("component", "doc_id").agg(F.min("line_no").alias("line_no"))
     gone = judged.select("doc_id", "line_no").join(kept.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
+    drop = stash(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop")), "lines-drop")
+    # The join with the documents comes after the space of all steps before is free.
+    for table_ in (found, known, member, keepers, judged):
+        drop_stash(table_)
+    release(spark)
+    return drop
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, group_rows: int = GROUP_ROWS) -> DataFrame:
