@@ -97,13 +97,15 @@ def train_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id
     ids = labelled.select(F.col(id_col).alias("doc_id")).filter("doc_id is not null").distinct()
     rows = texts_of(docs, id_col, text_col, domain_col).select("doc_id", F.col(domain_col).cast("string").alias("domain"), F.xxhash64("text").alias("key")).filter("domain is not null")
     rows = stash(rows.join(ids, "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("domain").alias("domain")), "mixing-labelled")
-    names = [r["domain"] for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS).collect()]
+    names = [r["domain"] for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MAX_DOMAINS + 1).collect()]
     if not names:
         return DomainClassifier()
-    domain = F.when(F.col("domain").isin(names[: MAX_DOMAINS - 1]), F.col("domain")).otherwise("other") if len(names) == MAX_DOMAINS else F.col("domain")
-    rows = rows.withColumn("domain", domain)
+    if len(names) > MAX_DOMAINS:
+        names = names[: MAX_DOMAINS - 1]
+        rows = rows.withColumn("domain", F.when(F.col("domain").isin(names), F.col("domain")).otherwise("other"))
+        names = [*names, "other"]
     picked = None
-    for name in sorted(set(names[: MAX_DOMAINS - 1]) | ({"other"} if len(names) == MAX_DOMAINS else set(names))):
+    for name in sorted(set(names)):
         part = rows.filter(F.col("domain") == name).orderBy("key").limit(max(1, sample_rows // len(names)))
         picked = part if picked is None else picked.unionByName(part)
     picked = stash(picked.select("doc_id", "domain"), "mixing-sample")
@@ -212,12 +214,16 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
     scale = np.where(np.diag(gram) > 0, 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300)), 0)
     step = 1 / max(float(np.linalg.eigvalsh(gram * np.outer(scale, scale)).max()), 1e-12)
     best = np.inf
-    for _ in range(rounds):
-        mix.totals = gather(lambda n, p: n @ (p * mix.rates(p)[:, None]))
-        miss = mix.totals - mix.targets
+    for k in range(rounds + 1):
+        totals = gather(lambda n, p: n @ (p * mix.rates(p)[:, None]))
+        miss = totals - mix.targets
         error = float((np.abs(miss) / max(budget, 1e-12)).max())
         loss = float(((scale * miss) ** 2).sum())
-        if error < tolerance or loss > best * (1 - 1e-4):
+        if loss > best:  # the last step led away and is taken back
+            mix.history = mix.history[:-1]
+            break
+        mix.totals = totals  # always those of the history
+        if k == rounds or error < tolerance or loss > best * (1 - 1e-4):
             break
         best = loss
         mix.history = np.vstack([mix.history, step * scale * scale * miss])

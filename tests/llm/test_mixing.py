@@ -62,6 +62,20 @@ def test_whole_texts_words_and_edges(spark):
     assert {r["doc_id"]: r["count"] for r in out} == {i: r["copies"] for i, r in got.items() if r["copies"]}
 
 
+def test_totals_are_those_of_the_rates_and_domains_keep_their_names(spark, monkeypatch):
+    docs, labelled = corpus(spark)
+    for rounds in (0, 3, 40):
+        _, members, mix = mixing.fit_mixture(docs, labelled, weights={"xx": 0.5, "yy": 0.5}, budget=6000.0, rounds=rounds)
+        rows = members.collect()
+        p, n = np.array([r["p"] for r in rows]), np.array([r["n_tokens"] for r in rows], float)
+        assert len(mix.history) <= rounds and np.allclose(mix.totals, n @ (p * mix.rates(p)[:, None]))
+    third = frame(spark, ["zzz zzq " * 9] * 3, 900, "zz")
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 3)
+    assert mixing.train_classifier(docs.unionByName(third), docs.unionByName(third)).domains == ["xx", "yy", "zz"]
+    monkeypatch.setattr(mixing, "MAX_DOMAINS", 2)
+    assert mixing.train_classifier(docs.unionByName(third), docs.unionByName(third)).domains == ["other", "xx"]
+
+
 def test_no_labels_and_empty_table(spark):
     docs, labelled = corpus(spark)
     _, members, mix = mixing.fit_mixture(docs, labelled.limit(0))
