@@ -11,7 +11,9 @@ Scores are those of balanced classes, not of the corpus's share of toxic texts.
 Learning uses a bounded, documented sample of labelled rows: at most
 ``sample_rows`` distinct texts of each class, taken in the order of a hash of
 the text, never from held-out rows (crc32 of doc_id as text mod 3 is 1).  The
-``slots`` hashed terms that tell the classes apart best enter the machine.
+``slots`` hashed terms that tell the classes apart best enter the machine, and
+so do the members of pairs of the ``PAIR_TERMS`` most frequent terms that stand
+together unlike in the two classes, even if neither tells anything alone.
 Scoring covers every whole text.  Labels, language, source and doc_id are never
 inputs of a score.
 
@@ -41,6 +43,8 @@ PREFIX = 4
 THRESHOLD = 0.7
 SAMPLE_ROWS = 6_000
 SLOTS = 1_024
+#: The most frequent terms whose pairs are screened, and from which z a pair tells the classes apart.
+PAIR_TERMS, PAIR_Z = 1_024, 6.0
 FACTORS = 8
 MEMO = 400_000
 _words = re.compile(r"\w+").findall
@@ -83,8 +87,9 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, rate: float, slots: int = SL
     p1, p0 = (in1 + 0.5) / (n1 + 1), (in0 + 0.5) / (n0 + 1)
     p = (in1 + in0 + 1) / (n1 + n0 + 2)
     z = np.where(in1 + in0 >= min(4, n1), (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0)
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:slots])
-    chosen = chosen[np.abs(z[chosen]) > 3]
+    alone = np.argsort(-np.abs(z), kind="stable")[:slots]
+    alone = alone[np.abs(z[alone]) > 3]
+    chosen = np.union1d(alone, telling_pairs(flat, row, toxic, np.argsort(-(in1 / n1 + in0 / n0), kind="stable")[:PAIR_TERMS], slots))
     if not len(chosen):
         return FactorizationMachine(prior)
     place = np.full(DIM, -1, np.int32)
@@ -118,6 +123,32 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, rate: float, slots: int = SL
     return FactorizationMachine(float(b), chosen.astype(np.int64), w, v)
 
 
+def telling_pairs(flat: np.ndarray, row: np.ndarray, toxic: np.ndarray, often: np.ndarray, slots: int) -> np.ndarray:
+    """The members of pairs of frequent terms whose association differs between the classes.
+
+    A pair's log odds ratio is compared between toxic and other texts: it is the
+    same where the terms only add up, however much each tells alone, so a high z
+    means an interaction that no single term shows.
+    """
+    often = often[np.bincount(flat, minlength=DIM)[often] > 0]
+    place = np.full(DIM, -1, np.int32)
+    place[often] = np.arange(len(often))
+    at = place[flat]
+    x = np.zeros((len(toxic), len(often)), np.float32)
+    x[row[at >= 0], at[at >= 0]] = 1
+    odds, spread = [], []
+    for k in (1, 0):
+        part = x[toxic == k]
+        both, one, n = part.T @ part, part.sum(0), len(part)
+        cells = (both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both)
+        odds.append(sum(sign * np.log(c + np.float32(0.5)) for sign, c in zip((1, -1, -1, 1), cells, strict=True)))
+        spread.append(sum(1 / (c + np.float32(0.5)) for c in cells))
+    z = np.triu(np.abs(odds[0] - odds[1]) / np.sqrt(spread[0] + spread[1]), 1)
+    i, j = np.nonzero(z > PAIR_Z)
+    order = np.argsort(-z[i, j], kind="stable")[: slots // 2]
+    return often[np.union1d(i[order], j[order])]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """A machine from a bounded sample of labelled rows that are not held out."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

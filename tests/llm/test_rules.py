@@ -199,6 +199,41 @@ def test_pairs_count_beyond_single_terms():
     assert score(a, b) > 0.7 > score(a) and score(b) < 0.7
 
 
+def test_exclusive_pairs_are_learnt_with_production_settings():
+    """Toxic is either term without the other: each alone is as frequent in both classes, so only the pair screen can find them."""
+    rng = np.random.default_rng(0)
+    a, b = toxicity.slots_of("aa")[0], toxicity.slots_of("bb")[0]
+    noise = [toxicity.slots_of(f"n{i}")[0] for i in range(300)]
+    terms, y = [], []
+    for i in range(6000):
+        t = set(rng.choice(noise, 20).tolist()) | ({a} if i % 2 else set()) | ({b} if i // 2 % 2 else set())
+        terms.append(np.array(sorted(t)))
+        y.append(int((a in t) != (b in t)))
+    m = toxicity.fit(terms, np.array(y), 0.5)
+    place = {int(s): k for k, s in enumerate(m.slots)}
+    score = lambda *s: m.score(np.array([place[x] for x in s], np.int64))
+    assert score(a) > 0.7 < score(b) and score() < 0.3 > score(a, b)
+
+
+def test_score_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(-0.3, np.arange(9), rng.normal(0, 1, 9), rng.normal(0, 0.5, (9, toxicity.FACTORS)))
+    for n in range(9):
+        rows = rng.choice(9, n, replace=False)
+        z = m.bias + sum(m.w[i] for i in rows) + sum(m.v[i] @ m.v[j] for i in rows for j in rows if i < j)
+        assert abs(m.score(rows) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_null_and_repeated_ids_are_scored_each(spark):
+    docs, labels, toxic = toxic_fixture(spark, 200)
+    nulls = docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    every = docs.unionByName(nulls).unionByName(docs.limit(2))
+    rows = toxicity.score_documents(every, toxicity.train(every, labels.unionByName(labels.limit(9)))).collect()
+    assert len(rows) == 205 and not any(r["held_out"] for r in rows if r["doc_id"] is None)
+    kept = toxicity.reject_toxic(every, toxicity.train(every, labels))
+    assert kept.columns == every.columns and kept.filter("doc_id is null").count() == sum(1 for r in rows if r["doc_id"] is None and not r["predicted"])
+
+
 def test_labels_of_one_class_or_none(spark):
     docs = frame(spark, EDGE)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
