@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cartulary.operators.graph import connected_components
 
@@ -206,13 +207,20 @@ def link_edges(reps: DataFrame, distance: int = DISTANCE, group_rows: int = GROU
     return whole.repartition(n_parts, "choice", "part", "piece", "other").groupBy("choice", "part", "piece", "other").applyInArrow(run, "u long, v long").distinct()
 
 
+def components(found: DataFrame, distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """f, component (a fingerprint), component_id (its smallest doc_id, null if it has none) of every fingerprint."""
+    each = stash(found.groupBy("f").agg(F.min("doc_id").alias("least")), "simhash-representatives")
+    parts = connected_components(stash(link_edges(each.select("f", F.col("f").alias("rep")), distance, group_rows), "simhash-edges"))
+    each = stash(each.join(parts, F.col("f") == F.col("node"), "left").select("f", "least", F.coalesce("component", "f").alias("component")), "simhash-components")
+    # Written first: the join is then of plain tables, which are split where one component is very large.
+    named = stash(each.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-names")
+    return each.join(named, "component").select("f", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, f, component_id of every row."""
     found = stash(fingerprints(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), "simhash-fingerprints")
-    reps = stash(found.filter("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("rep")), "simhash-representatives")
-    parts = connected_components(stash(link_edges(reps, distance, group_rows), "simhash-edges"))
-    named = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("f", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, "f", "left").select("doc_id", "f", "component_id")
+    return found.join(components(found, distance, group_rows), "f").select("doc_id", "f", "component_id")
 
 
 def query_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +229,26 @@ def query_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id; of repeated rows one."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component stays: the one with the smallest doc_id; of rows that repeat that id any one.
+
+    Rows without a doc_id are documents too: they go if their component has a
+    document with one, and one of them stays if it has none.
+    """
+    found = stash(fingerprints(docs).withColumn("doc_id", F.col("doc_id").cast("long")), "simhash-fingerprints")
+    named = stash(components(found), "simhash-named")
+    kept = found.join(named, "f").filter("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = _with_fingerprint(docs.filter("doc_id is null")).join(named.filter("component_id is null").select("f", "component").withColumnsRenamed({"f": "_f", "component": "_component"}), "_f")
+    return known.unionByName(nameless.dropDuplicates(["_component"]).select(docs.columns))
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, and _f."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.array([fingerprint(t.as_py() or "") for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], [*batch.schema.names, "_f"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_f", LongType())]))

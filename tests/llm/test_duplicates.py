@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from cartulary.llm import line_dedup, simhash
 from cartulary.operators.graph import connected_components
@@ -68,6 +69,17 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert simhash.stage_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
+    texts = texts_with_copies()
+    docs = frame(spark, texts)
+    alone = frame(spark, [text(70, 900), text(70, 901), text(70, 900)], 500).withColumn("doc_id", F.lit(None).cast("long"))
+    copies = docs.limit(5).withColumn("doc_id", F.lit(None).cast("long"))
+    out = simhash.stage_near_duplicates(spark, docs.unionByName(alone).unionByName(copies), "")
+    assert out.columns == docs.columns
+    assert sorted(r["text"] for r in out.filter("doc_id is null").collect()) == sorted([text(70, 900), text(70, 901)])
+    assert out.filter("doc_id is not null").count() == simhash.stage_near_duplicates(spark, docs, "").count()
+
+
 def brute_lines(texts, similarity=0.8, least=1):
     where = defaultdict(list)
     for d, t in enumerate(texts):
