@@ -254,10 +254,11 @@ def build_dictionary(docs: DataFrame, table_: RankTable, pattern: str, dictionar
     return stash(spread.select("word", table_.encode(F.col("word")).alias("ids")).select("word", "ids", table_.decode(F.col("ids")).alias("decoded")), "bpe-dictionary")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS, keep: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_words: int = DICTIONARY_WORDS, keep: bool = True, memo: int = MEMO) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip of every row.
 
     ``keep``: a worker keeps the dictionary for its next task; without, other jobs of the session have that memory.
+    ``memo``: entries that a worker remembers besides.
     """
     ranks = read_ranks(ranks_path)
     rows = texts_of(docs, id_col, text_col)
@@ -275,7 +276,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        (encode, rarely), sha = _worker_state(token, pattern, shipped, shipped_ranks), hashlib.sha256
+        (encode, rarely), sha = _worker_state(token, pattern, shipped, shipped_ranks, memo), hashlib.sha256
         for batch in batches:
             for part in slices(batch, 1):
                 names, codes, at = chunk_table(part.column(1))
@@ -301,7 +302,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 _state: dict[str, tuple[Memo, Memo]] = {}
 
 
-def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> tuple[Memo, Memo]:
+def _worker_state(token: str, pattern: str, shipped, shipped_ranks, memo: int) -> tuple[Memo, Memo]:
     """What encodes a chunk, and a rare word, to (ids, decoded bytes, number of ids) in this worker; one set is held at a time."""
     if token not in _state:
         import regex
@@ -321,7 +322,7 @@ def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> tuple[Mem
             ids = merge_word(ranks, w.encode("utf-8"))
             return ",".join(map(str, ids)).encode(), b"".join([pieces[i] for i in ids]), len(ids)
 
-        rarely = Memo(rare, MEMO)
+        rarely = Memo(rare, memo)
 
         def chunk(x: str) -> tuple[bytes, bytes, int]:
             got = [known.get(w) or rarely(w) for w in find(x)]
@@ -329,7 +330,7 @@ def _worker_state(token: str, pattern: str, shipped, shipped_ranks) -> tuple[Mem
                 return got[0]
             return b",".join([g[0] for g in got]), b"".join([g[1] for g in got]), sum([g[2] for g in got])
 
-        _state[token] = Memo(chunk, MEMO), rarely
+        _state[token] = Memo(chunk, memo), rarely
     return _state[token]
 
 
@@ -342,4 +343,4 @@ def query_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False, memo=MEMO // 3)

@@ -266,11 +266,13 @@ def mixed(docs: DataFrame, model: DomainClassifier, mix: Mixture, id_col: str =
     at, key = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, x = shipped.value
-            p, _ = m.posteriors([(t or "").encode("utf-8") for t in batch.column(at).to_pylist()])
-            n = _copies(x.rates(p), batch.column(key).to_pylist())
-            yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):  # copies multiply a batch
+                batch = whole.slice(k, 256)
+                m, x = shipped.value
+                p, _ = m.posteriors([(t or "").encode("utf-8") for t in batch.column(at).to_pylist()])
+                n = _copies(x.rates(p), batch.column(key).to_pylist())
+                yield batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -46,7 +46,7 @@ SLOTS = 1_024
 #: The most frequent terms whose pairs are screened, and from which z a pair tells the classes apart.
 PAIR_TERMS, PAIR_Z = 1_024, 6.0
 FACTORS = 8
-MEMO = 400_000
+MEMO = 150_000
 _words = re.compile(r"\w+").findall
 
 
@@ -216,8 +216,10 @@ def reject_toxic(docs: DataFrame, machine: FactorizationMachine, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shipped.value)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                yield batch.filter(pa.array([scorer(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
