@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -25,12 +26,44 @@ def test_counts_equal_the_library(spark):
             assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 100), (chunk, t)
 
 
-def test_splice_gives_the_same_ids_and_widens():
+UNSPACED = {
+    "ideographs": lambda r, n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n)),
+    "sentences": lambda r, n: "".join("\u3002" if r.random() < 0.05 else chr(r.randint(0x4E00, 0x5FA5)) for _ in range(n)),
+    "base64": lambda r, n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)),
+    "letters": lambda r, n: "".join(r.choice("etaoinshrdlu") for _ in range(n)),
+    "code": lambda r, n: "".join(r.choice(["a=b", "(x)", "'s", "''", "fn", "{", "}", ";", "'ll", "7", "<|endoftext|>", "Σ", "İ"]) for _ in range(n // 2)),
+    "symbols": lambda r, n: "".join(r.choice("-=+*'") for _ in range(n)),
+    "hangul": lambda r, n: "".join(chr(r.choice([0x1100, 0x1161, 0x11A8, 0xAC00]) + r.randint(0, 10)) for _ in range(n)),
+    "marks": lambda r, n: "".join(r.choice(["e\u0301", "\u0915\u093c", "\u0958", "a", "\u0e01\u0e34", "o\u0328\u0302"]) for _ in range(n // 2)),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(UNSPACED))
+def test_splice_gives_the_same_ids_without_white_space(kind):
+    tok = Tokenizer.from_file(WORD)
+    r = random.Random(4)
+    for n, chunk, overlap in ((1500, 150, 4), (1500, 64, 1), (6000, 400, 32)):
+        t = UNSPACED[kind](r, n)
+        ids, stats = token_count.encode_spliced(tok, t, chunk, overlap)
+        assert ids == tok.encode(t, add_special_tokens=False).ids, (n, chunk)
+        assert stats["chunks"] > 1
+
+
+@pytest.mark.parametrize("kind", sorted(UNSPACED))
+def test_work_is_linear_without_white_space(kind):
+    tok = Tokenizer.from_file(WORD)
+    t = UNSPACED[kind](random.Random(5), 60_000)
+    _, stats = token_count.encode_spliced(tok, t, 2_000, 64)
+    assert stats["chars"] <= (2 if kind != "marks" else 30) * len(t), stats
+
+
+def test_splice_widens():
     tok = Tokenizer.from_file(WORD)
+    widened = 0
     for t in (text(2000, 3), "x" * 3000, "ab1" * 700 + " " + "c" * 900 + " d"):
-        ids, chunks, widened = token_count.encode_spliced(tok, t, 150, 4)
-        assert [i for i, _, _ in ids] == tok.encode(t, add_special_tokens=False).ids
-        assert chunks > 1
+        ids, stats = token_count.encode_spliced(tok, t, 150, 4)
+        assert ids == tok.encode(t, add_special_tokens=False).ids
+        widened += stats["widened"]
     assert widened > 0
 
 
