@@ -138,4 +138,53 @@ ENUMERATOR = r"^\(?([0-9]+|[A-Za-z]|[ivxIVX]+)[\).:-]\s+"
 CAPS_HEADING = r"""^[A-Z0-9 ,.&'"/\-():;]{4,140}$"""
 CLAUSE_MODAL = r"\b(shall not|must not|prohibited|unlawful|shall|must|required|may|permitted|means|defined as|is defined as)\b"
 SENTENCE_END = r"""(?<=[.;:])\s+(?=(?:[A-Z(]|"))"""
+ACTION_TAGS = {
+    "adoption": (r"\b(adopt|adoption|adopted)\b", r"\b(be it ordained|ordained and enacted)\b"),
+    "amendment": (r"\b(amend|amends|amended|amendment)\b", r"\b(ordinance\s+no\.?\s*\\d+).*\\b(amend)"),
+    "rezoning_map_change": (r"\b(rezone|rezoning|re-zoning)\b", r"\b(reclassif(y|ication)|reclassification)\b", r"\b(zoning\s+map)\b", r"\b(change\s+of\s+zone|zone\s+change)\b"),
+    "public_hearing_notice": (r"\b(notice\s+of\s+(public\s+)?hearing)\b", r"\b(public\s+hearing)\b", r"\b(planning\s+commission)\b"),
+    "variance_special_exception": (r"\b(variance|variances)\b", r"\b(special\s+exception|special\s+use)\b", r"\b(board\s+of\s+appeals|zoning\s+board)\b"),
+    "conditional_use_permit": (r"\b(conditional\s+use|special\s+permit)\b", r"\b(use\s+permit)\b"),
+    "enforcement_penalties": (r"\b(violation|violations|unlawful)\b", r"\b(penalt(y|ies)|fine|imprisonment)\b", r"\b(enforcement|enforce)\b"),
+    "administration_procedure": (r"\b(permit\s+required|certificate\s+of\s+occupancy)\b", r"\b(zoning\s+administrator|building\s+inspector)\b", r"\b(application\s+shall\s+be\s+filed)\b"),
+}
+DIMENSION_TAGS = {
+    "district_definitions": (r"\b(definitions?)\b", r"\b(districts?)\b", r"\b(zoning\s+district)\b"),
+    "permitted_uses": (r"\b(permitted\s+uses?)\b", r"\b(uses?\s+permitted)\b", r"\b(prohibited)\b"),
+    "setbacks_yards": (r"\b(setback|setbacks)\b", r"\b(front\s+yard|rear\s+yard|side\s+yard)\b", r"\b(yard\s+requirements?)\b"),
+    "lot_size_area": (r"\b(minimum\s+lot\s+(area|size))\b", r"\b(lot\s+area|lot\s+size)\b", r"\b(square\s+feet|sq\.?\s*ft\.?)\b"),
+    "height_bulk": (r"\b(height|stories)\b", r"\b(bulk\s+regulations?)\b", r"\b(floor\s+area\s+ratio|far)\b"),
+    "density_dwelling_units": (r"\b(density)\b", r"\b(dwelling\s+units?)\b", r"\b(units?\s+per\s+acre)\b"),
+    "parking_loading": (r"\b(off-?street\s+parking|parking\s+spaces?)\b", r"\b(loading\s+spaces?|off-?street\s+loading)\b"),
+    "signs": (r"\b(signs?|billboards?)\b", r"\b(sign\s+area|sign\s+height)\b"),
+    "mobile_homes": (r"\b(mobile\s+home|manufactured\s+home|trailer\s+park)\b", r"\b(mobile\s+home\s+park)\b"),
+    "nonconforming": (r"\b(nonconforming|non-conforming)\b", r"\b(grandfather(ed)?|lawful\s+nonconforming)\b"),
+    "subdivision_platting": (r"\b(subdivision|platting|plat)\b", r"\b(preliminary\s+plat|final\s+plat)\b"),
+    "pud_site_plan": (r"\b(planned\s+unit\s+development|pud)\b", r"\b(site\s+plan)\b"),
+}
+INSTRUMENT_TAGS = {
+    "full_ordinance_text": (r"\b(zoning\s+ordinance)\b", r"\b(article\s+\\d+|section\s+\\d+)\b"),
+    "notice_legal_ad": (r"\b(legal\s+notice|notice\s+is\s+hereby\s+given)\b", r"\b(published\s+in\s+the)\b"),
+    "hearing_agenda_minutes": (r"\b(agenda|minutes)\b", r"\b(council\s+meeting)\b"),
+}
+ZONING_CONTEXT = r"\b(zoning|rezon|re-?zoning|ordinance|land\s+use|zoning\s+map|district\s+map|planning\s+commission|board\s+of\s+appeals|zoning\s+board|conditional\s+use|variance|nonconforming|setback|yard\s+requirements?|mobile\s+home|trailer\s+park|parking\s+spaces?|off-?street\s+parking|signs?|billboards?)\b"
+DISTRICT_TOKEN = r"\b([rcim]|ag|mf)-\d+[a-z]?\b"
+DISTRICT_CODE = r"\b([rcim])\s*-?\s*(\d+)\b"
+SIGNALS = {
+    "has_be_it_ordained": r"\bbe it ordain(?:ed|s)?\b|\bdoes ordain\b",
+    "has_section_clause": r"\b(?:section|sec\.?|§)\s*\d+[A-Za-z0-9.-]*\b",
+    "has_amend_formula": r"\bis hereby amended\b|\bamended to read as follows\b|\bamend(?:ing)? section\b",
+    "has_effective": r"\bshall take effect\b|\beffective date\b|\bshall become effective\b",
+    "has_public_hearing": r"\bpublic hearing\b|\bhearing will be held\b",
+    "has_minutes": r"\bminutes\b|\bmotion carried\b|\bapproved the minutes\b",
+    "has_notice_copy_available": r"\bcopy (?:may|can) be examined\b|\bavailable for public inspection\b",
+    "has_variance_terms": r"\bvariance\b|\bspecial exception\b|\bconditional use\b|\bspecial use\b",
+    "has_rezone_terms": r"\brezone\b|\brezoning\b|\bzoning map\b|\bfrom [A-Z0-9-]+ to [A-Z0-9-]+\b",
+    "has_building_housing": r"\bbuilding\b|\bhousing\b|\bsetback\b|\blot\b|\bheight\b|\bdensity\b",
+}
+MISSING_TEXT = r"\[MISSING TEXT[^\]]*\]"
+CONTINUED_FROM = r"continued\s+from\s+page\s+\d+"
+CONTINUED_ON = r"continued\s+(?:on|to)\s+page\s+\d+"
+PAGE_GAP_HINT = r"\bpage\b|\bpages\b|next newspaper page|earlier pages|unavailable|not attached|attached issue page|supplied page images|available issue pages|intervening page|continued on page|continuation from page|continuation on missing newspaper page|not present on the attached issue page"
+ANCHOR_WORDS = r"\b(article|section|chapter|part)\b"
 # --- end of fixed values ----------------------------------------------------

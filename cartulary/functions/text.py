@@ -63,6 +63,12 @@ def fingerprint_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def normalize_print(c: Column | str) -> Column:
+    """Lower-case letters, digits and single spaces of a text, whatever its line breaks."""
+    s = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^a-z0-9]+", " ")
+    return F.trim(s)
+
+
 def sha256(c: Column | str) -> Column:
     return F.sha2(F.coalesce(_col(c), F.lit("")), 256)
 
@@ -130,20 +136,28 @@ def syllables(word: Column) -> Column:
 
 
 def linguistic(c: Column | str) -> dict[str, Column]:
-    """Sentence and word measures and the two readability proxies of a text."""
+    """Sentence and word measures and the two readability proxies of a text.
+
+    Sums over words are counts over the whole text: a few passes of compiled
+    patterns, whatever the number of words.
+    """
     raw = F.coalesce(_col(c), F.lit(""))
-    words = F.regexp_extract_all(F.lower(raw), F.lit("[a-z']+"), F.lit(0))
-    per_sentence = F.filter(F.transform(F.split(raw, "[.!?]+"), lambda s: F.regexp_count(s, F.lit("[A-Za-z']+"))), lambda n: n > 0)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    n, sentences = F.size(words), F.size(per_sentence)
-    syl = safe_div(total(F.transform(words, syllables)), n)
-    length = safe_div(total(per_sentence), sentences)
+    low = F.lower(raw)
+    bare = F.replace(low, F.lit("'"), F.lit(""))
+    count = lambda t, p: F.regexp_count(t, F.lit(p))
+    n, said = count(low, "[a-z']+"), count(raw, "[A-Za-z']+")
+    sentences = count(raw, "[A-Za-z'][^.!?]*+")
+    # Vowel groups, less silent final e's, plus final le's, plus one for words without a vowel.
+    consonant = "[bcdfghjklmnpqrstvwxz]"
+    silent = count(bare, f"(?<![a-z])[a-z]*[aeiouy]{consonant}[a-z]*e(?![a-z])")
+    syl = safe_div(count(bare, "[aeiouy]++") - silent + count(bare, f"{consonant}le(?![a-z])") + count(bare, f"(?<![a-z]){consonant}++(?![a-z])"), n)
+    length = safe_div(said, sentences)
     has = (n > 0) & (sentences > 0)
     return {
         "sentence_count": sentences.cast("double"),
         "avg_sentence_words": length,
-        "avg_word_chars": safe_div(total(F.transform(words, lambda w: F.length(w))), n),
-        "long_word_share": safe_div(F.size(F.filter(words, lambda w: F.length(w) >= 7)), n),
+        "avg_word_chars": safe_div(F.length(F.regexp_replace(low, "[^a-z']++", "")), n),
+        "long_word_share": safe_div(count(low, "[a-z']{7,}+"), n),
         "syllables_per_word": syl,
         "reading_ease": F.when(has, 206.835 - 1.015 * length - 84.6 * syl).otherwise(0.0),
         "grade": F.when(has, 0.39 * length + 11.8 * syl - 15.59).otherwise(0.0),
@@ -246,6 +260,122 @@ def reference_counts(c: Column) -> dict[str, Column]:
     return {name: F.regexp_count(c, F.lit(f"(?i){p}")).cast("long") for name, p in rules.REFERENCES.items()}
 
 
+def tag_families(c: Column, families: dict[str, tuple[str, ...]]) -> Column:
+    """Sorted names of the families of which any pattern is found."""
+    return tags(c, [(name, "|".join(f"(?:{p})" for p in patterns)) for name, patterns in families.items()])
+
+
+def mechanics(c: Column, districts: int = 20) -> dict[str, Column]:
+    """What a text does and regulates: sorted tags, and up to ``districts`` district codes; none outside the field's context."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    upper = F.transform(F.regexp_extract_all(t, F.lit(f"(?i){rules.DISTRICT_TOKEN}"), F.lit(0)), lambda x: F.upper(x))
+    coded = F.transform(F.regexp_extract_all(t, F.lit(f"(?i){rules.DISTRICT_CODE}"), F.lit(0)), lambda x: F.upper(F.regexp_replace(x, r"(?i)^([rcim])\s*-?\s*([0-9]+)$", "$1-$2")))
+    found = {
+        "action_tags": tag_families(t, rules.ACTION_TAGS),
+        "dimension_tags": tag_families(t, rules.DIMENSION_TAGS),
+        "instrument_tags": tag_families(t, rules.INSTRUMENT_TAGS),
+        "district_tokens": F.slice(F.array_sort(F.array_union(upper, coded)), F.lit(1), F.lit(districts)),
+    }
+    return {n: F.when(t.rlike(f"(?i){rules.ZONING_CONTEXT}"), x).otherwise(F.array().cast("array<string>")) for n, x in found.items()}
+
+
+def signals(c: Column) -> dict[str, Column]:
+    """0/1 flags of the signal patterns."""
+    return {n: F.coalesce(c.rlike(f"(?i){p}"), F.lit(False)).cast("int") for n, p in rules.SIGNALS.items()}
+
+
+def purpose_lines(c: Column, first: int = 5, limit: int = 8) -> Column:
+    """array<struct<motive, description, evidence, confidence>>: lines that state a purpose, else the first lines.
+
+    Lines of one motive that share their first 80 characters count once.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    stated = F.filter(lines, lambda x: x.rlike(f"(?i){rules.PURPOSE}") | F.contains(F.lower(x), F.lit("general welfare")))
+    chosen = F.slice(F.when(F.size(stated) > 0, stated).otherwise(F.slice(lines, F.lit(1), F.lit(first))), F.lit(1), F.lit(limit))
+
+    def described(x: Column) -> Column:
+        found = motives(x)
+        return F.struct(F.get(found, F.lit(0))["motive"].alias("motive"), F.left(x, F.lit(600)).alias("description"), F.left(x, F.lit(300)).alias("evidence"), motive_confidence(found).alias("confidence"))
+
+    each = F.transform(chosen, described)
+    key = lambda x: F.concat(x["motive"], F.lit("|"), F.left(x["description"], F.lit(80)))
+    keys = F.transform(each, key)
+    return F.filter(each, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
+def architecture_anchor(title: Column) -> Column:
+    """The first five words of a title's head, without parentheses and words that only number it."""
+    s = F.regexp_replace(F.lower(clean_str(title)), r"\([^)]*\)", " ")
+    s = F.regexp_replace(F.get(F.split(s, "[:;\u2014-]"), F.lit(0)), r"[^a-z0-9\s]+", " ")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, rules.ANCHOR_WORDS, " "), r"\s+", " "))
+    return F.when(s == "", "unknown").otherwise(F.substring_index(s, " ", 5))
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>>: all matches with their offsets in characters."""
+    p = f"(?i){pattern}"
+    gaps, found = F.split(c, p, -1), F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    kind = "array<struct<start:int,end:int,value:string>>"
+    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + F.length(x["g"])
+        return F.concat(acc, F.array(F.struct(start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("value"))).cast(kind))
+
+    return F.aggregate(zipped, F.array().cast(kind), step)
+
+
+def gap_audit(c: Column, edge_chars: int = 500, edge_share: float = 0.05) -> dict[str, Column]:
+    """Clues that pages of a text are missing, and the category they make."""
+    t = F.coalesce(c, F.lit(""))
+    n = F.greatest(F.length(t), F.lit(1))
+    holes = F.regexp_extract_all(t, F.lit(f"(?i){rules.MISSING_TEXT}"), F.lit(0))
+    paged = F.filter(holes, lambda x: x.rlike(f"(?i){rules.PAGE_GAP_HINT}"))
+    near_start = F.filter(matches(t, rules.CONTINUED_FROM), lambda m: (m["start"] <= edge_chars) | (m["start"] / n <= edge_share))
+    near_end = F.filter(matches(t, rules.CONTINUED_ON), lambda m: (F.length(t) - m["end"] <= edge_chars) | ((F.length(t) - m["end"]) / n <= edge_share))
+    sure = (F.size(paged) > 0) | (F.size(near_start) > 0) | (F.size(near_end) > 0)
+    return {
+        "placeholders": F.size(holes),
+        "page_gap_placeholders": F.size(paged),
+        "continued_from_edge": F.size(near_start),
+        "continued_on_edge": F.size(near_end),
+        "audit_category": F.when(sure, "high_confidence_missing_other_pages").when(F.size(holes) > 0, "incomplete_text_cause_unclear").otherwise("no_direct_gap_clue"),
+    }
+
+
+def bounded(c: Column, limit: int) -> Column:
+    """The text, or a failed job if it is longer than the limit."""
+    return F.when(F.length(c) > limit, F.raise_error(F.concat(F.lit(f"text over {limit} characters: "), F.length(c).cast("string")))).otherwise(c)
+
+
+def clause_span(text: Column, clause: Column) -> Column:
+    """struct<start, end>: where a clause first stands in its section, from 0; 0 where it doesn't."""
+    start = F.greatest(F.instr(text, clause) - 1, F.lit(0))
+    return F.struct(start.alias("start"), (start + F.length(clause)).alias("end"))
+
+
+def line_slice(text: Column, start: Column, end: Column) -> Column:
+    """Lines start..end, from 1, of a text."""
+    return F.array_join(F.slice(F.split(text, "\n"), start, F.greatest(end - start + 1, F.lit(0))), "\n")
+
+
+def year_range(c: Column) -> Column:
+    """struct<first, last>: the years that a text names first and last (first = last for one)."""
+    years = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![0-9])(1[89][0-9]{2}|20[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))
+    return F.struct(F.get(years, F.lit(0)).alias("first"), F.get(years, F.size(years) - 1).alias("last"))
+
+
+def exact_date(c: Column) -> Column:
+    """The date of a text that is an ISO date or holds one; null otherwise."""
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?<![0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])", 1).try_cast("date")
+
+
+def keyword_density(c: Column, keywords: Iterable[str]) -> Column:
+    """Keyword hits (whole words) per 1,000 words."""
+    hits = F.regexp_count(F.lower(c), F.lit(r"\b(?:" + "|".join(keywords) + r")\b"))
+    return F.coalesce(F.try_divide(hits * 1000.0, word_count(c).cast("double")), F.lit(0.0))
+
+
 # Numbers, dates, vectors -------------------------------------------------------
 def safe_div(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is not positive or anything is missing."""
@@ -317,6 +447,24 @@ def unique_items(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda x: F.coalesce(x, F.lit("")) != ""))
 
 
+def split_cell(c: Column, separator: str = ",") -> Column:
+    """The cleaned items of a list in a cell."""
+    return F.filter(F.transform(F.split(clean_str(c), separator), lambda x: clean_str(x)), lambda x: x != "")
+
+
+def count_map(counts: Column, limit: int = 5) -> Column:
+    """``key:n|key:n`` of array<struct<key, n>>, most frequent first, ties by key."""
+    order = F.array_sort(F.transform(counts, lambda x: F.struct((-x["n"]).alias("m"), x["key"].alias("key"))))
+    return F.array_join(F.transform(F.slice(order, F.lit(1), F.lit(limit)), lambda x: F.concat(x["key"], F.lit(":"), (-x["m"]).cast("string"))), "|")
+
+
+def json_vector(c: Column) -> Column:
+    """array<double> of a JSON list of numbers; null where it is none or an item isn't a finite number."""
+    v = F.from_json(c, "array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when((F.size(v) > 0) & ~bad, v)
+
+
 # JSON ------------------------------------------------------------------------
 def lenient_object(c: Column) -> Column:
     """The first JSON object of a text that may be fenced or surrounded by prose; null if it doesn't parse."""

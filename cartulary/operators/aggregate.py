@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import safe_div
+from cartulary.functions.text import entropy, safe_div
 
 
 def shares(df: DataFrame, group: list[str], category: str) -> DataFrame:
@@ -39,13 +39,6 @@ def standardized_mean(df: DataFrame, group: str, stratum: str, value: Column) ->
     return cells.join(weights, stratum).groupBy(group).agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("adjusted"), F.sum("w").alias("coverage"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("raw"), F.sum("n").alias("n"))
 
 
-def zscore(c: Column | str) -> Column:
-    """Population z-score over the whole table, 0 without spread."""
-    c = F.col(c) if isinstance(c, str) else c
-    whole = Window.partitionBy()
-    return F.coalesce(F.try_divide(c - F.avg(c).over(whole), F.nullif(F.stddev_pop(c).over(whole), F.lit(0.0))), F.lit(0.0))
-
-
 def zscored(df: DataFrame, columns: list[str]) -> DataFrame:
     """Population z-scores by one aggregate that is joined back (one row), so no window holds the table."""
     stats = df.agg(*[F.avg(c).alias(f"{c}_m") for c in columns], *[F.stddev_pop(c).alias(f"{c}_s") for c in columns])
@@ -81,3 +74,51 @@ def precision_recall(truth: Column, said: Column) -> list[Column]:
     tp, fp, fn = F.count_if(truth & said), F.count_if(~truth & said), F.count_if(truth & ~said)
     p, r = safe_div(tp, tp + fp), safe_div(tp, tp + fn)
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.count_if(~truth & ~said).alias("tn"), p.alias("precision"), r.alias("recall"), safe_div(2 * p * r, p + r).alias("f1")]
+
+
+def complexity(df: DataFrame, unit: str, category: str) -> DataFrame:
+    """unit, distinct, entropy, top, top_share, n: how mixed a unit's categories are; ties of the top by name."""
+    n = df.groupBy(unit, category).agg(F.count("*").alias("n"))
+    by = n.groupBy(unit).agg(F.collect_list("n").alias("each"), F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), F.col(category).alias("c"))).alias("first"))
+    share = lambda x: x / F.col("total")
+    return by.select(unit, F.size("each").alias("distinct"), entropy(F.transform("each", share)).alias("entropy"), F.col("first.c").alias("top"), (-F.col("first.m") / F.col("total")).alias("top_share"), F.col("total").alias("n"))
+
+
+def preferred_mode(df: DataFrame, group: list[str], category: str, preferred: list[str], fallback: str = "unknown") -> DataFrame:
+    """The most frequent preferred category of each group, ties in order of preference.
+
+    Without a preferred one it is the most frequent of all, ties by name, and
+    ``fallback`` where all are blank.
+    """
+    c = F.lower(F.trim(F.coalesce(F.col(category).cast("string"), F.lit(""))))
+    n = df.select(*group, c.alias("_c")).groupBy(*group, "_c").agg(F.count("*").alias("_n"))
+    place = F.array_position(F.array(*map(F.lit, preferred)), F.col("_c"))
+    rank = F.when(F.col("_c") == "", 2).when(place > 0, 0).otherwise(1)
+    best = F.min(F.struct(rank.alias("r"), (-F.col("_n")).alias("m"), place.alias("p"), F.col("_c").alias("c")))
+    return n.groupBy(*group).agg(best.alias("b")).select(*group, F.when(F.col("b.r") == 2, fallback).otherwise(F.col("b.c")).alias("mode"))
+
+
+def rollup_counts(df: DataFrame, levels: list[str], distinct: str, error: float = 0.02) -> DataFrame:
+    """Counts at every level of a hierarchy in one pass: levels (null where rolled up), level, n, distinct estimate (HyperLogLog)."""
+    out = df.rollup(*levels).agg(F.count("*").alias("n"), F.approx_count_distinct(distinct, error).alias("about"), F.grouping_id().alias("level"))
+    return out.select(*levels, "level", "n", "about")
+
+
+def tag_features(df: DataFrame, unit: str, tags: str, weight: str, relevant: Column, noise: Column, tag_names: list[str]) -> DataFrame:
+    """unit, share of weight of each tag among relevant rows, of noise and of rows without tags, and the total weight."""
+    w = F.col(weight)
+    keep = relevant & ~noise
+    sums = [F.sum(F.when(keep & F.array_contains(tags, t), w).otherwise(0.0)).alias(f"tag_{t}") for t in tag_names]
+    untagged = keep & (F.size(tags) == 0)
+    out = df.groupBy(unit).agg(F.sum(w).alias("total"), *sums, F.sum(F.when(relevant & noise, w).otherwise(0.0)).alias("noise"), F.sum(F.when(untagged, w).otherwise(0.0)).alias("missing"))
+    return out.select(unit, "total", *[safe_div(F.col(f"tag_{t}"), F.col("total")).alias(f"tag_{t}") for t in tag_names], safe_div(F.col("noise"), F.col("total")).alias("noise_share"), safe_div(F.col("missing"), F.col("total")).alias("missing_share"))
+
+
+def separation_score(df: DataFrame, group: str, category: str, sure: Column, likely: Column, weights: dict[str, tuple[float, float]]) -> DataFrame:
+    """group, score: the rates of likely and of sure labels in each category, weighted (likely, sure) and added up."""
+    score = F.lit(0.0)
+    for name, (a, b) in weights.items():
+        inside = F.col(category) == name
+        n = F.count_if(inside)
+        score = score + a * F.try_divide(F.count_if(inside & likely), n) + b * F.try_divide(F.count_if(inside & sure), n)
+    return df.groupBy(group).agg(score.alias("score"))

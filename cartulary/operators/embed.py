@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.text import cosine, entropy
 
+from cartulary.storage import stash
+
 from .graph import connected_components
 
 
@@ -32,11 +34,10 @@ def exemplars(df: DataFrame, item: str, group: str, vector: str, k: int = 5, far
     return to_centroid(df, item, group, vector).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def neighbours(df: DataFrame, item: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """item, neighbour, sim, place: exact k nearest by cosine, all rows against all in blocks of bounded size."""
+def _block_pairs(df: DataFrame, item: str, vector: str, run, schema: str, block: int = 4096) -> DataFrame:
+    """``run(ids a, unit vectors a, ids b, unit vectors b)`` on every pair of blocks of bounded size: a block of rows a against all rows."""
     unit = df.select(F.col(item).cast("long").alias("item"), F.col(vector).cast("array<double>").alias("v"))
-    n = unit.count()
-    parts = max(1, -(-n // block))
+    parts = max(1, -(-unit.count() // block))
     dealt = unit.withColumn("p", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = dealt.withColumn("q", every)
@@ -47,19 +48,34 @@ def neighbours(df: DataFrame, item: str, vector: str, k: int, block: int = 4096)
         s = np.linalg.norm(x, axis=1, keepdims=True)
         return t.column("item").to_numpy(), x / np.where(s > 0, s, 1)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if a.num_rows and b.num_rows:
-            (ia, xa), (ib, xb) = matrix(a), matrix(b)
-            for begin in range(0, len(ia), 512):
-                s = xa[begin : begin + 512] @ xb.T
-                for i, row in zip(ia[begin : begin + 512], s, strict=True):
-                    near = np.argpartition(-row, min(k + 8, len(row) - 1))[: k + 9]
-                    best = sorted(((-round(float(row[j]), 12), int(ib[j])) for j in near if ib[j] != i))[:k]
-                    out += [(int(i), j, -m) for m, j in best]
-        return pa.table({"item": pa.array([o[0] for o in out], pa.int64()), "neighbour": pa.array([o[1] for o in out], pa.int64()), "sim": pa.array([o[2] for o in out], pa.float64())})
-
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(run, "item long, neighbour long, sim double")
+    def call(a: pa.Table, b: pa.Table) -> pa.Table:
+        columns = run(*matrix(a), *matrix(b)) if a.num_rows and b.num_rows else [[] for _ in names]
+        return pa.table({n: pa.array(c, k) for (n, k), c in zip(names, columns, strict=True)})
+
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    names = [(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(call, schema)
+
+
+def neighbours(df: DataFrame, item: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """item, neighbour, sim, place: exact k nearest by cosine, ties by the smaller neighbour, all rows against all in blocks of bounded size."""
+
+    def run(ia: np.ndarray, xa: np.ndarray, ib: np.ndarray, xb: np.ndarray) -> tuple[list, list, list]:
+        out: tuple[list, list, list] = ([], [], [])
+        at = max(0, len(ib) - k - 1)  # the item itself may be among them
+        for begin in range(0, len(ia), 512):
+            s = xa[begin : begin + 512] @ xb.T
+            for i, row in zip(ia[begin : begin + 512].tolist(), s, strict=True):
+                near = np.flatnonzero(row >= np.partition(row, at)[at] - 1e-9)  # with all ties
+                near = near[ib[near] != i]
+                sim = np.round(row[near], 12)
+                best = np.lexsort((ib[near], -sim))[:k]
+                out[0].extend([i] * len(best))
+                out[1].extend(ib[near][best].tolist())
+                out[2].extend(sim[best].tolist())
+        return out
+
+    found = _block_pairs(df, item, vector, run, "item long, neighbour long, sim double", block)
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("sim"), "neighbour"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
@@ -113,16 +129,39 @@ def cluster_hierarchical(df: DataFrame, item: str, vector: str, threshold: float
     return cells.join(F.broadcast(names), "cluster").select(item, F.col("meta").alias("cluster"))
 
 
-def density_clusters(df: DataFrame, item: str, vector: str, min_cluster: int, min_samples: int, reach: float) -> DataFrame:
+def density_clusters(df: DataFrame, item: str, vector: str, min_cluster: int, min_samples: int, reach: float, block: int = 4096) -> DataFrame:
     """item, cluster (-1 noise): density clustering at one reachability level.
 
-    Core items have ``min_samples`` neighbours within ``reach`` (cosine distance);
-    mutual-reachability edges join cores, clusters under ``min_cluster`` are noise.
+    Core items have ``min_samples`` others within ``reach`` (cosine distance), all
+    of which are counted; cores within reach are joined, clusters of fewer than
+    ``min_cluster`` cores are noise.  A pair of blocks returns counts, and then a
+    spanning forest of its cores, so a dense knot costs no more rows than it has items.
     """
-    near = neighbours(df, item, vector, max(min_samples, 8)).filter(F.col("sim") >= 1 - reach)
-    core = near.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("item")
-    edges = near.join(core, "item").join(core.withColumnRenamed("item", "neighbour"), "neighbour").select(F.col("item").alias("u"), F.col("neighbour").alias("v"))
-    parts = connected_components(edges)
+    least = 1 - reach - 1e-12
+
+    def count(ia: np.ndarray, xa: np.ndarray, ib: np.ndarray, xb: np.ndarray) -> tuple[list, list]:
+        n = np.concatenate([((xa[k : k + 512] @ xb.T >= least) & (ia[k : k + 512, None] != ib[None, :])).sum(1) for k in range(0, len(ia), 512)])
+        return ia.tolist(), n.tolist()
+
+    def join(ia: np.ndarray, xa: np.ndarray, ib: np.ndarray, xb: np.ndarray) -> tuple[list, list]:
+        part, links = np.arange(len(ib)), ([], [])
+        for k in range(0, len(ia), 512):
+            for i, near in zip(ia[k : k + 512].tolist(), xa[k : k + 512] @ xb.T >= least, strict=True):
+                roots, first = np.unique(part[near], return_index=True)
+                hit = np.flatnonzero(near)
+                for j in hit[first].tolist():
+                    if int(ib[j]) != i:
+                        links[0].append(i)
+                        links[1].append(int(ib[j]))
+                if len(roots) > 1:
+                    part[np.isin(part, roots)] = roots[0]
+        return links
+
+    near = _block_pairs(df, item, vector, count, "item long, n long", block).groupBy("item").agg(F.sum("n").alias("n"))
+    core = stash(near.filter(F.col("n") >= min_samples).select("item"), "density-cores")
+    cores = stash(df.select(item, vector).join(core.withColumnRenamed("item", "_core"), F.col(item).cast("long") == F.col("_core"), "left_semi"), "density-core-vectors")
+    parts = connected_components(stash(_block_pairs(cores, item, vector, join, "u long, v long", block), "density-links"))
+    parts = core.select(F.col("item").alias("node")).join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     kept = parts.groupBy("component").count().filter(F.col("count") >= min_cluster).select("component")
     return df.select(F.col(item).cast("long").alias("node")).join(parts.join(kept, "component"), "node", "left").select(F.col("node").alias(item), F.coalesce("component", F.lit(-1)).alias("cluster"))
 

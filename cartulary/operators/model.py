@@ -134,12 +134,50 @@ def pca(df: DataFrame, item: str, vector: str, k: int = 2) -> DataFrame:
         for b in batches:
             x = b.column(0).flatten().to_numpy().reshape(-1, dim)
             total, n = total + x.T @ x, n + len(x)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([n])], ["s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel()), pa.array(np.full(dim * dim, n))], ["at", "s", "n"])
 
-    parts = df.select(v.alias("v")).mapInArrow(outer, "s binary, n long").collect()  # one matrix per task
-    cov = sum(np.frombuffer(r["s"]).reshape(dim, dim) for r in parts) / max(1, sum(r["n"] for r in parts) - 1)
+    # Tasks' matrices are added up by Spark: one of them reaches the driver, whatever the number of partitions.
+    sums = df.select(v.alias("v")).mapInArrow(outer, "at long, s double, n long").groupBy("at").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("at").toArrow()
+    cov = sums.column("s").to_numpy().reshape(dim, dim) / max(1, int(sums.column("n")[0].as_py()) - 1)
     _, vectors = np.linalg.eigh(cov)
     axes = vectors[:, ::-1][:, : min(k, dim)].T
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
     coords = [F.aggregate(F.zip_with(v, F.array(*map(F.lit, a.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for a in axes]
     return df.select(item, F.array(*coords, *[F.lit(0.0)] * (k - len(axes))).alias("coords"))
+
+
+def logit(df: DataFrame, outcome: str, features: list[str], key: str, folds: int = 5) -> DataFrame:
+    """term, estimate, and the folds' mean auc and brier of a binomial model whose folds never split a key.
+
+    Rows belong to the fold of their key's hash; each fold is scored by the model of the others.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = df.select(F.col(outcome).cast("double").alias("label"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"), *[F.col(f).cast("double").alias(f) for f in features])
+    rows = stash(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows).select("label", "fold", "features"), "logit-rows")
+    fit = lambda x: LogisticRegression(maxIter=50, tol=1e-9, standardization=False).fit(x)
+    auc, brier = [], []
+    for k in range(folds):
+        train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+        seen, held = (x.agg(F.countDistinct("label")).first()[0] for x in (train, test))
+        if seen == 2 and held == 2:
+            said = fit(train).transform(test)
+            auc.append(BinaryClassificationEvaluator().evaluate(said))
+            p = vector_to_array("probability")[1]
+            brier.append(said.agg(F.avg((p - F.col("label")) ** 2)).first()[0])
+    m = fit(rows)
+    mean = lambda x: float(np.mean(x)) if x else None
+    out = [(t, float(b), mean(auc), mean(brier)) for t, b in zip(["intercept", *features], [m.intercept, *m.coefficients.toArray()], strict=True)]
+    return df.sparkSession.createDataFrame(out, "term string, estimate double, auc double, brier double")
+
+
+def ols_outcomes(df: DataFrame, outcomes: dict, numeric: dict, categorical: dict, **how) -> DataFrame:
+    """``ols_hc1`` for every outcome (name: column), with the column outcome."""
+    out = None
+    for name, y in outcomes.items():
+        one = ols_hc1(df, y, numeric, categorical, **how).withColumn("outcome", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -55,3 +55,55 @@ def batches(df: DataFrame, order: list[Column], size: int, parts: int = 256) ->
     offsets = sizes.select("_p", offset.alias("_o"))
     at = F.col("_o") + F.col("_n") - 1
     return ranged.withColumn("_n", local).join(F.broadcast(offsets), "_p").select(*df.columns, F.floor(at / size).alias("batch"), (at % size).alias("place"))
+
+
+def union_unique(frames: list[DataFrame], key: str) -> DataFrame:
+    """All rows of the frames; a key that occurs twice fails the job.
+
+    Counted by a grouped aggregate with map-side sums, so a hot key shows early and moves nothing.
+    """
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    twice = out.groupBy(key).agg(F.count("*").alias("_n"))
+    failure = F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string"))).cast("boolean")
+    return out.join(twice.filter(F.when(F.col("_n") > 1, failure).otherwise(True)), key).drop("_n")
+
+
+def balanced_sample(df: DataFrame, group: str, half: Column, each: int, order: Column) -> DataFrame:
+    """Up to ``each`` rows of every group from each half (a condition, such as single or several pages), first by ``order``."""
+    place = F.row_number().over(Window.partitionBy(group, "_half").orderBy(order))
+    return df.withColumn("_half", half).withColumn("_r", place).filter(F.col("_r") <= each).drop("_half", "_r")
+
+
+def coverage_sample(df: DataFrame, group: str, item: str, features: dict[str, float], bonus: str, quota: int) -> DataFrame:
+    """group, item, place: rows picked one by one, each the most novel left.
+
+    A feature value not yet picked in the group scores its weight, one picked n times
+    1 / (1 + n); ``bonus`` adds a small score of its own.  Ties go to values picked
+    less often, then to the larger item.  What a pick can add depends only on its
+    feature values, bonus and item, so of rows with equal values only the best
+    ``quota`` by bonus and item can be picked: a group's task holds at most
+    ``quota`` rows per combination of values.
+    """
+    names = list(features)
+    order = Window.partitionBy(group, *names).orderBy(F.desc(bonus), F.desc(item))
+    rows = df.select(group, item, *names, bonus).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= quota).drop("_r")
+
+    def pick(t):
+        import pandas as pd
+
+        left = t.to_dict("records")
+        seen: dict[tuple, int] = {}
+        out = []
+        while left and len(out) < quota:
+            counts = [[seen.get((f, r[f]), 0) for f in names] for r in left]
+            score = [(sum(features[f] if not c else 1 / (1 + c) for f, c in zip(names, n, strict=True)) + r[bonus], *[-c for c in n], r[item]) for r, n in zip(left, counts, strict=True)]
+            best = left.pop(max(range(len(left)), key=score.__getitem__))
+            for f in names:
+                seen[(f, best[f])] = seen.get((f, best[f]), 0) + 1
+            out.append((best[group], best[item], len(out) + 1))
+        return pd.DataFrame(out, columns=[group, item, "place"])
+
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return rows.groupBy(group).applyInPandas(pick, f"{group} {kind(group)}, {item} {kind(item)}, place int")

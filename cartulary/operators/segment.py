@@ -27,10 +27,12 @@ def sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Headings start sections and a text's first line always does.  The lines of a
     text stay in its row's task order: the only shuffle is by document.
     """
-    text = collapse(text_col)
-    lines = df.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("lines")).select("doc_id", "lines", F.posexplode("lines").alias("i", "line"))
-    blank = lambda k: F.coalesce(F.trim(F.get("lines", F.col("i") + k)), F.lit("")) == ""
-    marked = lines.select("doc_id", "i", "line", ((F.col("i") == 0) | is_heading(F.col("line"), blank(-1), blank(1))).cast("int").alias("starts"), is_heading(F.col("line"), F.lit(True), F.lit(False)).alias("heads"))
+    lines = df.select(F.col(id_col).alias("doc_id"), F.split(collapse(text_col), "\n").alias("lines"))
+    # Each line goes with its neighbours' state, so that no row carries all lines.
+    blank = F.concat(F.array(F.lit(True)), F.transform("lines", lambda x: F.trim(x) == ""), F.array(F.lit(True)))
+    lines = lines.select("doc_id", F.posexplode(F.arrays_zip("lines", F.slice(blank, F.lit(1), F.size("lines")).alias("before"), F.slice(blank, F.lit(3), F.size("lines")).alias("after"))).alias("i", "x"))
+    line = F.col("x.lines")
+    marked = lines.select("doc_id", "i", line.alias("line"), ((F.col("i") == 0) | is_heading(line, F.col("x.before"), F.col("x.after"))).cast("int").alias("starts"), is_heading(line, F.lit(True), F.lit(False)).alias("heads"))
     number = F.sum("starts").over(Window.partitionBy("doc_id").orderBy("i"))
     parts = marked.withColumn("section_index", number).groupBy("doc_id", "section_index").agg(F.array_sort(F.collect_list(F.struct("i", "line", "heads"))).alias("l"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     join = lambda a: collapse(F.array_join(F.transform(a, lambda x: x["line"]), "\n"))
@@ -65,6 +67,41 @@ def packed_chunks(text: Column, limit: int) -> Column:
     )
 
 
+def embedding_chunks(text: Column, limit: int = 12_000) -> Column:
+    """array<string>: paragraphs packed greedily; a longer one is cut at the last space past half the limit, else hard."""
+    body = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
+    tidy = lambda x: F.trim(x, F.lit(" \t\n\r\x0b\x0c"))
+    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), tidy), lambda x: x != "")
+    state = "struct<rest:string,pieces:array<string>>"
+
+    def cut(s: Column, _: Column) -> Column:
+        rest = s["rest"]
+        window = F.left(rest, F.lit(limit))
+        space = F.length(window) - F.instr(F.reverse(window), " ")
+        at = F.when((F.instr(window, " ") == 0) | (space < limit // 2), F.lit(limit)).otherwise(space)
+        piece = tidy(F.substr(rest, F.lit(1), at))
+        left = F.struct(tidy(F.substr(rest, at + 1)).alias("rest"), F.when(piece != "", F.concat(s["pieces"], F.array(piece))).otherwise(s["pieces"]).alias("pieces"))
+        return F.when(F.length(rest) > limit, left.cast(state)).otherwise(s)
+
+    def pieces(p: Column) -> Column:
+        first = F.struct(p.alias("rest"), F.array().cast("array<string>").alias("pieces")).cast(state)
+        turns = F.sequence(F.lit(0), F.floor(F.length(p) / max(1, limit // 2)).cast("int"))
+        # Only the last piece of a paragraph may be joined with the next paragraph.
+        return F.aggregate(turns, first, cut, lambda s: F.struct(s["pieces"].alias("closed"), s["rest"].alias("open")))
+
+    kind = "struct<done:array<string>,now:string>"
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now")).cast(kind)
+
+    def pack(s: Column, p: Column) -> Column:
+        joined = F.when(s["now"] == "", p).otherwise(F.concat_ws("\n\n", s["now"], p))
+        parts = pieces(p)
+        closed = F.concat(F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))), parts["closed"])
+        return F.when(F.length(joined) <= limit, F.struct(s["done"].alias("done"), joined.alias("now")).cast(kind)).otherwise(F.struct(closed.alias("done"), parts["open"].alias("now")).cast(kind))
+
+    packed = F.aggregate(paragraphs, start, pack, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    return F.when(F.size(packed) > 0, packed).otherwise(F.array(body))
+
+
 def transcript(df: DataFrame, key: str, place: str, role: str, text: str) -> DataFrame:
     """One text per key out of its ordered pages or turns."""
     block = F.struct(F.col(place).alias("p"), F.concat(F.lit("=== "), F.coalesce(F.col(role), F.lit("")), F.lit(" ===\n"), F.coalesce(F.col(text), F.lit(""))).alias("b"))
@@ -85,3 +122,26 @@ def spec_problems(df: DataFrame, key: str, start: str, end: str, last_line: str)
     return rows.groupBy(key).agg(
         F.count_if(F.col(start) > F.col("_b") + 1).alias("gaps"), F.count_if(F.col(start) <= F.col("_b")).alias("overlaps"), (F.min(start) != 1).alias("bad_start"), (F.max(end) != F.max(last_line)).alias("bad_end")
     )
+
+
+def repair_specs(df: DataFrame, key: str, start: str, end: str, last_line: str, slack: int = 1, head: int = 3) -> DataFrame:
+    """key, start, end, number, status: line ranges made a contiguous cover of 1..last_line where that takes little.
+
+    By start: a first range that begins by line ``head`` is moved to 1, gaps and
+    tails of up to ``slack`` lines go to the range before them.  Overlaps, empty
+    ranges, larger gaps and tails reject all ranges of the key.  Statuses:
+    ``ok``, ``repaired``, ``rejected``.
+    """
+    rows = df.select(key, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"), F.col(last_line).cast("long").alias("last"))
+    order = Window.partitionBy(key).orderBy("s", "e")
+    rows = rows.select("*", F.row_number().over(order).alias("number"), F.lag("e").over(order).alias("before"), F.lead("s").over(order).alias("next"))
+    gap = F.when(F.col("before").isNull(), F.when(F.col("s") <= head, 0).otherwise(slack + 1)).otherwise(F.col("s") - F.col("before") - 1)
+    tail = F.when(F.col("next").isNull(), F.col("last") - F.col("e")).otherwise(0)
+    bad = (F.col("e") < F.col("s")) | (gap < 0) | (gap > slack) | (tail < 0) | (tail > slack)
+    changed = (gap != 0) | (tail != 0) | (F.col("before").isNull() & (F.col("s") != 1))
+    every = Window.partitionBy(key)
+    status = F.when(F.max(bad.cast("int")).over(every) == 1, "rejected").when(F.max(changed.cast("int")).over(every) == 1, "repaired").otherwise("ok")
+    first = F.when(F.col("before").isNull(), F.lit(1)).otherwise(F.col("s"))
+    last = F.when(F.col("next").isNull(), F.col("last")).otherwise(F.col("next") - 1)
+    kept = status != "rejected"
+    return rows.select(key, F.when(kept, first).otherwise(F.col("s")).cast("long").alias("start"), F.when(kept, last).otherwise(F.col("e")).cast("long").alias("end"), F.col("number").cast("long").alias("number"), status.alias("status"))

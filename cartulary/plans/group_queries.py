@@ -108,7 +108,7 @@ def entropy_by_group(spark, sf_dir):
 def js_similarity(spark, sf_dir):
     """Similarity of the event mixes of nine cohorts: pairs of a fixed small set."""
     e = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
     n = e.groupBy((F.col("user_id") % 9).alias("g")).pivot("event_type", kinds).count().fillna(0)
     total = sum((F.col(f"`{k}`") for k in kinds), F.lit(0))
     p = n.select("g", F.array(*[F.col(f"`{k}`") / total for k in kinds]).alias("p"))

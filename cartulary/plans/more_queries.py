@@ -165,19 +165,9 @@ def breadth_proxy(spark, sf_dir):
     return g.select("l_orderkey", "active", F.round(F.col("active") + 0.75 * F.log1p("q"), 6).alias("breadth"))
 
 
-@query("reprint_groups")
-def reprint_groups(spark, sf_dir):
-    """Near-duplicate groups in compat mode with roles: candidates by block and size, difflib's ratio, components."""
-    from cartulary.operators.dedup import near_groups
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left(fx.fingerprint_text("text"), F.lit(60)).alias("head"), fx.word_count("text").alias("words"), F.left(fx.fingerprint_text("text"), F.lit(12000)).alias("body")).filter("head <> ''")
-    g = near_groups(d, "doc_id", ["lang", "head"], "words", "body", 0.985)
-    return g.select("doc_id", F.concat(F.lit("dedup::"), "group").alias("group"), F.when(F.col("doc_id") == F.col("group"), "representative").otherwise("grouped").alias("role"))
-
-
 @query("tfidf_norms")
 def tfidf_norms(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    t = model.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 2000)
+    t = model.tfidf(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return t.select("doc_id", F.sqrt(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))

@@ -181,28 +181,6 @@ def token_topk_by_group(spark, sf_dir):
     return top_k(t.groupBy("lang", "token").agg(F.count("*").alias("n")), ["lang"], [F.desc("n"), F.asc("token")], 8).withColumn("place", F.col("place").cast("long"))
 
 
-@query(
-    "near_dup_blocked",
-    f"""
-    WITH d AS (SELECT doc_id, lang, {_WORDS} AS words, left({_NORM}, 60) AS head FROM documents),
-    p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM d a JOIN d b ON a.lang = b.lang AND a.head = b.head AND a.doc_id < b.doc_id
-          WHERE a.head <> '' AND abs(a.words - b.words) <= greatest(20, floor(0.03 * greatest(a.words, b.words)))),
-    e AS (SELECT u, v FROM p UNION SELECT v, u FROM p UNION SELECT doc_id, doc_id FROM d),
-    r AS (WITH RECURSIVE c(node, root) AS (SELECT u, u FROM e UNION SELECT c.node, e.v FROM c JOIN e ON c.root = e.u) SELECT node, min(root) AS component FROM c GROUP BY node)
-    SELECT node AS doc_id, component FROM r
-    """,
-)
-def near_dup_blocked(spark, sf_dir):
-    """Word-count range self-join within a block (language and opening words), then components."""
-    from cartulary.operators.dedup import blocked_range_pairs
-    from cartulary.operators.graph import connected_components
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", fx.word_count("text").alias("words"), F.left(fx.fingerprint_text("text"), F.lit(60)).alias("head")).filter("head <> ''")
-    parts = connected_components(blocked_range_pairs(d, "doc_id", ["lang", "head"], "words"))
-    every = table(spark, sf_dir, "documents").select("doc_id")
-    return every.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-
-
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 0 AND 50 AS valid FROM events")
 def json_props(spark, sf_dir):
     k = F.from_json("props", "struct<k:bigint>")["k"]
