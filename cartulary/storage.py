@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -38,6 +39,10 @@ def drop_stash(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of finished jobs that nothing refers to any more, and give freed memory back."""
     gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
     spark.sparkContext._jvm.System.gc()
