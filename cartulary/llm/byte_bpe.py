@@ -337,7 +337,8 @@ def _worker_state(token: str, pattern: str, shipped, shipped_ranks, memo: int) -
 def query_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    # Chunks are told apart once a batch: larger batches save more than they hold.
+    return encode_documents(table(spark, sf_dir, "documents", batch=64 << 20), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

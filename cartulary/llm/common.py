@@ -12,16 +12,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of a batch that goes to a Python worker.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20)
+BATCH = 2 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, batch: int = BATCH) -> DataFrame:
     """A table of the inputs.
 
     Batches of whole texts would by default hold 64 MB each, several times over
     in the JVM and the worker, so the session's batches are made smaller.
     """
-    spark.conf.set(*BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
