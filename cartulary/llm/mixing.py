@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts_of
+from .common import release, stash, table, texts_of
 
 DIM = 2_048
 SAMPLE_ROWS = 3_000
@@ -122,21 +122,26 @@ def train_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id
     sample = texts_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     found = sample.select("text", "domain").mapInArrow(run, "counts binary, domain string").toArrow()
     domains = sorted(set(found.column("domain").to_pylist()))
-    x = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.int32).reshape(-1, DIM).astype(np.float32)
-    return fit_classifier(x, np.array([domains.index(d) for d in found.column("domain").to_pylist()]), domains)
+    x = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.int32).reshape(-1, DIM)
+    model = fit_classifier(x, np.array([domains.index(d) for d in found.column("domain").to_pylist()]), domains)
+    del found, x
+    release(docs.sparkSession)
+    return model
 
 
 def fit_classifier(counts: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 150) -> DomainClassifier:
-    x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    mean, scale = x.mean(0), 1 / (x.std(0) + 1e-4)
-    z = (x - mean) * scale
+    z = counts.astype(np.float32)
+    z /= np.maximum(z.sum(1, keepdims=True), 1)
+    mean, scale = z.mean(0), 1 / (z.std(0) + 1e-4)
+    z -= mean
+    z *= scale
     w, b = np.zeros((DIM, len(domains)), np.float32), np.zeros(len(domains))
     hot = np.eye(len(domains), dtype=np.float32)[y]
-    step = 0.5 * len(x) / max(1.0, float((z * z).sum(1).mean())) / len(x)
+    step = 0.5 / max(1.0, float(np.einsum("ij,ij->i", z, z).mean()))
     for _ in range(steps):
         s = z @ w + b
         p = np.exp(s - s.max(1, keepdims=True))
-        g = ((p / p.sum(1, keepdims=True)) - hot) / len(x)
+        g = ((p / p.sum(1, keepdims=True)) - hot) / len(z)
         w -= step * 4 * (z.T @ g + 1e-3 * w).astype(np.float32)
         b -= step * 4 * g.sum(0)
     folded = w * scale[:, None]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts_of
+from .common import release, stash, table, texts_of
 
 DIM = 1 << 20
 PREFIX = 4
@@ -81,9 +81,9 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, rate: float, slots: int = SL
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n1 or not n0:
         return FactorizationMachine(prior)
-    flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    in1, in0 = (np.bincount(flat[toxic[row] == k], minlength=DIM) for k in (1, 0))
+    flat = np.concatenate(terms).astype(np.int32) if terms else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    in1, in0 = (np.bincount(flat[toxic[row] == k], minlength=DIM).astype(np.float32) for k in (1, 0))
     p1, p0 = (in1 + 0.5) / (n1 + 1), (in0 + 0.5) / (n0 + 1)
     p = (in1 + in0 + 1) / (n1 + n0 + 2)
     z = np.where(in1 + in0 >= min(4, n1), (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), 0)
@@ -134,16 +134,24 @@ def telling_pairs(flat: np.ndarray, row: np.ndarray, toxic: np.ndarray, often: n
     place = np.full(DIM, -1, np.int32)
     place[often] = np.arange(len(often))
     at = place[flat]
-    x = np.zeros((len(toxic), len(often)), np.float32)
-    x[row[at >= 0], at[at >= 0]] = 1
-    odds, spread = [], []
-    for k in (1, 0):
-        part = x[toxic == k]
-        both, one, n = part.T @ part, part.sum(0), len(part)
-        cells = (both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both)
-        odds.append(sum(sign * np.log(c + np.float32(0.5)) for sign, c in zip((1, -1, -1, 1), cells, strict=True)))
-        spread.append(sum(1 / (c + np.float32(0.5)) for c in cells))
-    z = np.triu(np.abs(odds[0] - odds[1]) / np.sqrt(spread[0] + spread[1]), 1)
+    row, at = row[at >= 0], at[at >= 0]
+    starts = np.searchsorted(row, np.arange(0, len(toxic) + 512, 512))
+    both = np.zeros((2, len(often), len(often)), np.float32)
+    for k, (begin, end) in enumerate(zip(starts, starts[1:], strict=False)):  # few rows at once, so that memory stays small
+        kinds = toxic[512 * k : 512 * (k + 1)]
+        x = np.zeros((len(kinds), len(often)), np.float32)
+        x[row[begin:end] - 512 * k, at[begin:end]] = 1
+        for kind in (0, 1):
+            part = x[kinds == kind]
+            both[kind] += part.T @ part
+    z, spread = np.zeros(both.shape[1:], np.float32), np.zeros(both.shape[1:], np.float32)
+    for kind, b in enumerate(both):
+        one, n = np.diag(b).copy(), np.float32((toxic == kind).sum())
+        for sign, cell in ((1, lambda: b), (-1, lambda: one[:, None] - b), (-1, lambda: one[None, :] - b), (1, lambda: n - one[:, None] - one[None, :] + b)):  # noqa: B023
+            c = cell() + np.float32(0.5)
+            spread += 1 / c
+            z += np.float32(sign if kind else -sign) * np.log(c)
+    z = np.triu(np.abs(z) / np.sqrt(spread), 1)
     i, j = np.nonzero(z > PAIR_Z)
     order = np.argsort(-z[i, j], kind="stable")[: slots // 2]
     return often[np.union1d(i[order], j[order])]
@@ -170,9 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample is bounded by 2 * sample_rows ids, so it may be broadcast.
     rows = texts_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     found = rows.select("text", "toxic").mapInArrow(run, "terms array<int>, toxic int").toArrow()
-    terms = [np.asarray(t.values, np.int64) for t in found.column("terms").combine_chunks()] if found.num_rows else []
+    held = found.column("terms").combine_chunks() if found.num_rows else None
+    terms = np.split(held.flatten().to_numpy(), np.cumsum(held.value_lengths().to_numpy())[:-1]) if held is not None else []
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    return fit(terms, np.asarray(found.column("toxic"), np.int64), (n1 + 1) / (n1 + n0 + 2))
+    machine = fit(terms, np.asarray(found.column("toxic"), np.int64), (n1 + 1) / (n1 + n0 + 2))
+    del found, held, terms
+    release(docs.sparkSession)
+    return machine
 
 
 class _Scorer:
