@@ -552,7 +552,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the dropped lines taken out of the text, and the column n_lines_dropped."""
     drop = dropped_lines(docs, id_col, text_col, similarity, min_chars, group_rows).withColumnsRenamed({"doc_id": "_line_doc", "drop": "_line_drop"})
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_line_drop", i)), "\n")
-    out = docs.join(drop, F.col(id_col).cast("long") == F.col("_line_doc"), "left")
+    # The same plan at every size: the drops grow with the corpus, so they are never broadcast.
+    out = docs.join(drop.hint("merge"), F.col(id_col).cast("long") == F.col("_line_doc"), "left")
     cut = F.when(F.col("_line_drop").isNotNull(), kept).otherwise(F.col(text_col))
     return out.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("_line_drop"), F.lit(0)).alias("n_lines_dropped"))
 
