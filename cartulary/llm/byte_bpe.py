@@ -342,6 +342,7 @@ def query_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As the query, with less memory in workers, since the session has run other stages."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False, memo=MEMO // 3)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, dictionary_words=DICTIONARY_WORDS // 2, keep=False, memo=MEMO // 5)
