@@ -124,8 +124,17 @@ def rule_values() -> dict[str, Column]:
 
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(X <= k) for X ~ Binomial(n, p): the exact p-value of 'the false rejection rate is above p'."""
-    lp, lq = math.log(p), math.log1p(-p)
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq) for i in range(k + 1)))
+    if k >= n:
+        return 1.0
+    upper = k > n * p  # the shorter tail is summed: its terms shrink fast from its edge on
+    i, step = (k + 1, 1) if upper else (k, -1)
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while 0 <= i <= n and term > total * 1e-17:
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p) if upper else i / (n - i + 1) * (1 - p) / p
+        i += step
+    return min(1.0, max(0.0, 1 - total if upper else total))
 
 
 def choose_cutoff(good: list[int], bad: list[int], n_good: int, n_bad: int, limit: float, error: float) -> int | None:

@@ -61,6 +61,18 @@ def test_a_small_unusual_stratum_keeps_its_good_rows(spark):
     assert kept == {*range(900), *range(1000, 1040)}
 
 
+def test_rows_without_a_stratum_are_one_stratum_and_rows_without_text_fail(spark):
+    good = [text(40, s) for s in range(700)]
+    bad = [" ".join(w + "%%%" for w in words(40, 5000 + s)) for s in range(80)]
+    docs = frame(spark, good + bad + [None, None], lang=None)
+    labels = spark.range(790).select(F.col("id").alias("doc_id"), (F.col("id") < 700).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    cutoffs = quality_rules.fit_cutoffs(quality_rules.measure(docs), labels)
+    assert {s for by in cutoffs.values() for s in by} == {""}
+    out = quality_rules.apply_rules(docs.unionByName(docs.filter("doc_id < 3")), labels).collect()
+    assert len(out) == 785 and {r["doc_id"] for r in out if r["kept"]} == set(range(700))
+    assert all(r["base_failed"] and not r["n_words"] for r in out if r["doc_id"] >= 780)
+
+
 def test_choose_cutoff_stops_at_the_first_failure():
     assert quality_rules.choose_cutoff([0, 0, 40, 0], [0, 50, 60, 90], 1000, 100, 0.02, 0.01) == 1
     assert quality_rules.choose_cutoff([0, 0], [50, 50], 30, 100, 0.02, 0.01) is None
@@ -119,6 +131,86 @@ def test_terms_near_rare_values_are_found(spark):
         assert "Zelbrookia" not in out[i] and " again " in out[i] and " from " in out[i]
 
 
+def brute_terms(texts, threshold=0.9, support=3, window=80):
+    """The disclosing terms of every text, straight from the definition."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+
+    term = regex.compile(pii.TERM)
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    valid = (lambda m: True, lambda m: all(len(x.lstrip("0") or "0") <= 3 and int(x) <= 255 for x in m.split(".")), lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), lambda m: 10 <= len(digits(m)) <= 15)
+    pools = (lambda v: v.split("@")[-1], lambda v: ".".join(x.lstrip("0") or "0" for x in v.split(".")[:3]), lambda v: digits(v)[:6], lambda v: digits(v)[:-4])
+    rows = Counter(t or "" for t in texts)
+    entities, near = defaultdict(set), defaultdict(set)  # text: entities; (entity, term): texts
+    for t in rows:
+        for kind, name in enumerate(pii.KINDS):
+            found = list(regex.finditer(pii.PATTERNS[name], t))
+            for k, m in enumerate(found):
+                if not valid[kind](m[0]):
+                    continue
+                left = t[found[k - 1].end() if k else 0 : m.start()][-(window + 1) :]
+                right = t[m.end() : found[k + 1].start() if k + 1 < len(found) else None][: window + 1]
+                left = re.sub(r"^\S+", "", left) if len(left) > window else left
+                right = re.sub(r"\S+$", "", right) if len(right) > window else right
+                words = set(term.findall((left + "\n" + right).lower()))
+                for e in (f"{kind}:{m[0].lower()}", f"pool:{kind}:{pools[kind](m[0].lower())}"):
+                    entities[t].add(e)
+                    for w in words | {"^" + w[: pii.STEM] for w in words}:
+                        near[e, w].add(t)
+    n, n_t, n_c = sum(rows.values()), Counter(), Counter()
+    for t, c in rows.items():
+        words = set(term.findall(t.lower()))
+        for w in words | {"^" + w[: pii.STEM] for w in words}:
+            n_t[w] += c
+        for e in entities[t]:
+            n_c[e] += c
+    reveal = defaultdict(set)
+    for (e, w), where in near.items():
+        n_ct = sum(rows[t] for t in where)
+        m = n_ct / len(where)
+        p = n_ct / n_t[w] if len(where) >= support else (n_ct + m * n_c[e] / n) / (n_t[w] + m)
+        if math.log2(p * n / n_c[e]) >= threshold * math.log2(n / n_c[e]):
+            reveal[e].add(w)
+    out = []
+    for t in texts:
+        said = {}
+        for e in entities[t or ""]:
+            for w in reveal[e]:
+                if not w.startswith("^"):
+                    said[w] = said.get(w, True) and "^" + w[: pii.STEM] not in reveal[e]
+        out.append(",".join(f"{'general' if said[m[0].lower()] else 'term'}:{m.start()}:{m.end()}" for m in regex.finditer(pii.TERM, t or "") if m[0].lower() in said))
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    names, plain = ["Quorvantha", "Zelbrookia", "drXenophanes", "Dubber", "Ölmann", "Trask", "Vintner", "Quorum", "Yeoman"], words(40, 3)
+    values = ["ol@one.org", "u1@zb.org", "u2@zb.org", "10.0.0.7", "10.0.0.9", "+1 386 555 3733", "+1 386 555 9911", "4111111111111111", "jo@x.org jo@x.org"]
+    texts = [*EDGE]
+    for i in range(400):
+        w = r.choice(plain, 30).tolist()
+        if i % 4 == 0:
+            k = int(r.integers(len(values)))
+            w[int(r.integers(20))] = f"{names[k % len(names)] if r.random() < 0.8 else 'met'} {values[k]} {names[(k + 1) % len(names)].lower() if r.random() < 0.3 else 'and'}"
+        elif i % 9 == 0:
+            w[3] = "quorate"
+        texts.append(" ".join(w))
+    texts += texts[10:60:4] * 2  # copies are rows, but one piece of evidence
+    got = {x["doc_id"]: x["s"] for x in pii.detect(frame(spark, texts)).select("doc_id", pii.written(F.col("more")).alias("s")).collect()}
+    want = brute_terms(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert any("general" in x for x in want) and any("term" in x for x in want)
+
+
+def test_repeated_ids_are_judged_each(spark):
+    docs = frame(spark, ["write to a@b.co now", "a@b.co", None])
+    again = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    rows = pii.detect(again).select("doc_id", F.size("spans").alias("n")).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(i, n) for i, n in ((0, 1), (1, 1), (2, 0)) for _ in (0, 1)] + [(None, 1), (None, 1), (None, 0)], key=str)
+
+
 def test_statements_are_text():
     assert all(isinstance(x, str) for x in queries.ORACLES.values())
 
