@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import dedup_queries, embed_queries, field_queries, taxonomy_queries, text_queries, time_queries, join_queries, group_queries, more_queries  # noqa: E402, F401, I001
+from . import dedup_queries, embed_queries, family_queries, field_queries, taxonomy_queries, text_queries, time_queries, join_queries, group_queries, more_queries  # noqa: E402, F401, I001

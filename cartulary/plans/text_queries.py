@@ -143,7 +143,34 @@ def line_sections(spark, sf_dir):
     return n.groupBy("doc_id", "section_index").agg((F.min("i") + 1).cast("long").alias("start_line"), (F.max("i") + 1).cast("long").alias("end_line"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
-@query("heading_sections")
+def _heading(before: str, after: str) -> str:
+    """Whether the trimmed line ``s`` is a heading, as SQL."""
+    caps = rules.CAPS_HEADING.replace("'", "''")
+    return f"""(s <> '' AND (regexp_matches(s, '{rules.ARTICLE_HEADING}', 'i') OR regexp_matches(s, '{rules.SECTION_HEADING}', 'i') OR (length(s) <= 140 AND regexp_matches(s, '{caps}') AND ({before} OR {after}))
+        OR ({before} AND {after} AND len(regexp_split_to_array(s, '\\s+')) <= 12 AND NOT regexp_matches(s, '[A-Za-z][A-Z]|(^|[^A-Za-z])[a-z]') AND regexp_matches(s, '[A-Za-z]'))))"""
+
+
+def _kind_of(sample: str) -> str:
+    out = "CASE "
+    for kind, some, every in rules.SECTION_KINDS:
+        needs = [f"contains({sample}, '{n}')" for n in every] + (["(" + " OR ".join(f"contains({sample}, '{n}')" for n in some) + ")"] if some else [])
+        out += f"WHEN {' AND '.join(needs)} THEN '{kind}' "
+    return out + "ELSE 'other' END"
+
+
+@query(
+    "heading_sections",
+    f"""
+    WITH l AS (SELECT doc_id, unnest(string_split({_COLLAPSE}, chr(10))) AS line, generate_subscripts(string_split({_COLLAPSE}, chr(10)), 1) AS i FROM documents),
+    b AS (SELECT *, trim(line) AS s, coalesce(trim(lag(line) OVER w) = '', TRUE) AS before, coalesce(trim(lead(line) OVER w) = '', TRUE) AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    m AS (SELECT *, CAST(i = 1 OR {_heading("before", "after")} AS INTEGER) AS starts, {_heading("TRUE", "FALSE")} AS heads FROM b),
+    n AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS section_index FROM m),
+    p AS (SELECT doc_id, section_index, min(i) AS lo, max(i) AS hi, string_agg(line, chr(10) ORDER BY i) AS w, arg_min(line, i) AS head, arg_min(heads, i) AS heads FROM n GROUP BY 1, 2),
+    q AS (SELECT *, {_COLLAPSE.replace("text", "w")} AS whole, CASE WHEN heads THEN substr(w, length(head) + 2) ELSE w END AS r FROM p), t AS (SELECT *, {_COLLAPSE.replace("text", "r")} AS body, left(trim(head), 240) AS heading FROM q),
+    u AS (SELECT *, CASE WHEN body = '' THEN whole ELSE body END AS text FROM t)
+    SELECT doc_id, CAST(section_index AS BIGINT) AS section_index, heading, lo AS start_line, hi AS end_line, text, {_kind_of("lower(heading || chr(10) || text)")} AS section_kind FROM u
+    """,
+)
 def heading_sections(spark, sf_dir):
     return segment.sections(table(spark, sf_dir, "documents"))
 
@@ -159,7 +186,16 @@ def clause_semantics(spark, sf_dir):
     return c.select("doc_id", "section_index", "clause_index", "section_kind", "modality", "hint", "instrument", "actor", "target", "role", fx.is_operative(F.col("role"), F.col("modality"), F.col("instrument")).alias("operative"), F.get("motives", F.lit(0))["motive"].alias("motive"), fx.motive_confidence(F.col("motives")).alias("confidence"), fx.captured(F.col("clause"), rules.CONDITION).alias("condition"), fx.captured(F.col("clause"), rules.EXCEPTION).alias("exception"), F.size(fx.numbers_found(F.col("clause"))).alias("numbers"))
 
 
-@query("greedy_chunks")
+@query(
+    "greedy_chunks",
+    f"""
+    WITH p AS (SELECT doc_id, list_filter(list_transform(string_split({_COLLAPSE}, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS paras FROM documents),
+    c AS (SELECT doc_id, flatten(list_transform(paras, lambda x: list_transform(range(0, (length(x) - 1) // 1200 + 1), lambda k: substr(x, k * 1200 + 1, 1200)))) AS cut FROM p WHERE len(paras) > 0),
+    r AS (SELECT doc_id, list_reduce(list_transform(cut, lambda x: [x]), lambda a, b: CASE WHEN length(a[len(a)]) + length(b[1]) + 2 <= 1200 THEN list_concat(a[1:len(a) - 1], [a[len(a)] || chr(10) || chr(10) || b[1]]) ELSE list_concat(a, b) END) AS chunks FROM c),
+    u AS (SELECT doc_id, len(chunks) AS n, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS i FROM r)
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS chunk_count, CAST(length(chunk) AS INTEGER) AS chars, 1.0 / n AS doc_weight FROM u
+    """,
+)
 def greedy_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", segment.packed_chunks(F.col("text"), 1200).alias("chunks"))
     return d.select("doc_id", F.size("chunks").alias("chunk_count"), F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "chunk_count", F.length("chunk").alias("chars"), (1 / F.col("chunk_count")).alias("doc_weight"))

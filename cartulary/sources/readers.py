@@ -16,6 +16,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
 
 
+def read_csv_members(spark: SparkSession, path: str, schema: T.StructType | str, column: str, members: DataFrame) -> DataFrame:
+    """Rows of a CSV whose ``column`` is among the members (a one-column table): a semi join, broadcast while the set is small."""
+    key = members.columns[0]
+    return read_csv(spark, path, schema).join(members.select(F.col(key).alias(column)).distinct(), column, "left_semi")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines: blank lines and lines that aren't objects are skipped; .gz is read as it is."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
