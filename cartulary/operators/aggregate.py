@@ -122,3 +122,11 @@ def separation_score(df: DataFrame, group: str, category: str, sure: Column, lik
         n = F.count_if(inside)
         score = score + a * F.try_divide(F.count_if(inside & likely), n) + b * F.try_divide(F.count_if(inside & sure), n)
     return df.groupBy(group).agg(score.alias("score"))
+
+
+def topk_columns(df: DataFrame, group: str, category: str, k: int) -> tuple[DataFrame, list[str]]:
+    """group, top1 .. topk, other: counts of the k commonest categories (ties by name) and of all the rest; and the names."""
+    names = [r[0] for r in df.groupBy(category).count().orderBy(F.desc("count"), category).limit(k).collect()]
+    each = [F.count_if(F.col(category) == n).alias(f"top{i + 1}") for i, n in enumerate(names)]
+    rest = F.count_if(~F.coalesce(F.col(category).isin(names), F.lit(False))) if names else F.count("*")
+    return df.groupBy(group).agg(*each, rest.alias("other")), names

@@ -225,6 +225,18 @@ def confusion_metrics(spark, sf_dir):
     return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("topk_columns_other", "WITH m AS (SELECT date_trunc('month', ts) AS month, event_type, count(*) AS rows_n, count(DISTINCT user_id) AS users_n, round(sum(value), 4) AS weight FROM events GROUP BY 1, 2) SELECT strftime(month, '%Y-%m') AS month, event_type, rows_n, users_n, weight FROM m")
+@query(
+    "topk_columns_other",
+    """
+    WITH n AS (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY 1),
+    e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, k, user_id, value FROM events JOIN n USING (event_type))
+    SELECT day, count(*) FILTER (k = 1) AS top1, count(*) FILTER (k = 2) AS top2, count(*) FILTER (k > 2) AS other, count(DISTINCT user_id) AS users_n, round(sum(value), 4) AS weight,
+           (SELECT string_agg(event_type, '|' ORDER BY k) FROM n WHERE k <= 2) AS top_names FROM e GROUP BY 1
+    """,
+)
 def topk_columns_other(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("rows_n"), F.countDistinct("user_id").alias("users_n"), F.round(F.sum("value"), 4).alias("weight"))
+    """Counts by day of the two commonest types, in columns of their own, and of all others."""
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "user_id", "value")
+    counts, names = ag.topk_columns(e, "day", "event_type", 2)
+    more = e.groupBy("day").agg(F.countDistinct("user_id").alias("users_n"), F.round(F.sum("value"), 4).alias("weight"))
+    return counts.join(more, "day").withColumn("top_names", F.lit("|".join(names)))

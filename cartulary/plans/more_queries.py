@@ -116,15 +116,27 @@ def centroid_global_outliers(spark, sf_dir):
     return s.orderBy("sim", "vec_id").limit(20).withColumn("sim", F.round("sim", 6))
 
 
-@query("candidate_scores", "WITH s AS (SELECT c_custkey, s_suppkey, CASE WHEN right(c_name, 2) = right(s_name, 2) THEN 100 ELSE 0 END + CASE WHEN c_nationkey = s_nationkey THEN 20 ELSE 0 END + CASE WHEN c_acctbal > s_acctbal THEN 10 ELSE 0 END AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS k FROM s) SELECT c_custkey, s_suppkey, score FROM r WHERE k = 1")
+@query(
+    "candidate_scores",
+    """
+    WITH s AS (SELECT c_custkey, s_suppkey, CASE WHEN right(c_name, 3) = right(s_name, 3) THEN 100 ELSE 0 END + CASE WHEN right(c_name, 2) = right(s_name, 2) THEN 40 WHEN contains(s_name, right(c_name, 2)) THEN 20 ELSE 0 END
+                    + CASE WHEN c_custkey % 3 = s_suppkey % 3 THEN 20 ELSE 0 END + 10 AS score FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS k FROM s) SELECT c_custkey, s_suppkey, CAST(score AS INTEGER) AS score FROM r WHERE k = 1
+    """,
+)
 def candidate_scores(spark, sf_dir):
+    """The best candidate of the same state: slug 100, title 40 or (contained) 20, city 20, state 10."""
+    from cartulary.operators.join import candidate_score
+
     j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    two = lambda c: F.right(c, F.lit(2))
-    score = F.when(two("c_name") == two("s_name"), 100).otherwise(0) + F.lit(20) + F.when(F.col("c_acctbal") > F.col("s_acctbal"), 10).otherwise(0)
+    last = lambda c, n: F.right(c, F.lit(n))
+    two = last("c_name", 2)
+    score = candidate_score(last("c_name", 3) == last("s_name", 3), two == last("s_name", 2), F.contains("s_name", two), F.col("c_custkey") % 3 == F.col("s_suppkey") % 3, F.lit(True))
     best = F.min(F.struct((-score).alias("m"), "s_suppkey"))
     return j.groupBy("c_custkey").agg(best.alias("b")).select("c_custkey", "b.s_suppkey", (-F.col("b.m")).alias("score"))
 
 
+
 @query("priority_tiers", "WITH g AS (SELECT l_orderkey, max(l_linenumber) AS hi, count(*) AS n FROM lineitem WHERE (l_orderkey + l_linenumber) % 4 <> 0 GROUP BY 1) SELECT l_orderkey, hi - n AS missing, CASE WHEN hi - n = 0 THEN 'P3' WHEN hi - n = 1 THEN 'P2' WHEN n >= 3 THEN 'P1' ELSE 'P0' END AS tier FROM g")
 def priority_tiers(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").filter("(l_orderkey + l_linenumber) % 4 <> 0").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("hi"), F.count("*").alias("n"))

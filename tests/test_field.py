@@ -223,3 +223,35 @@ def test_section_repair_statuses(spark):
         got.setdefault((r["k"], r["status"]), []).append((r["start"], r["end"]))
     assert got[("ok", "ok")] == [(1, 4), (5, 9)] and got[("fix", "repaired")] == [(1, 5), (6, 9)]
     assert {k for k, s in got if s == "rejected"} == {"over", "gap", "back", "tail"}
+
+
+def test_density_hierarchy(spark):
+    from cartulary.operators import hierarchy
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.1, 40), ((5, 5), 0.4, 60), ((-6, 4), 0.2, 30))] + [rng.uniform(-30, 30, (12, 2))])
+    core = hierarchy.core_distances(x, 4)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert core == pytest.approx(np.sort(d, axis=1)[:, 3], abs=1e-6)
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    # Kruskal's tree has the same weights.
+    lab, want = list(range(len(x))), []
+    for i, j in sorted(((i, j) for i in range(len(x)) for j in range(i)), key=lambda p: reach[p]):
+        if lab[i] != lab[j]:
+            want.append(reach[i, j])
+            old, new = lab[i], lab[j]
+            lab = [new if v == old else v for v in lab]
+    tree = hierarchy.spanning_tree(x, core)
+    assert np.sort(tree[:, 2]) == pytest.approx(np.array(want), abs=1e-6)
+    label = hierarchy.cluster(x, 12, 4)
+    for begin, end in ((0, 40), (40, 100), (100, 130)):
+        names, n = np.unique(label[begin:end], return_counts=True)
+        assert n.max() >= 0.9 * (end - begin) and names[n.argmax()] >= 0
+    assert len(set(label.tolist()) - {-1}) == 3 and (label[130:] == -1).mean() > 0.6
+    df = spark.createDataFrame([(g, i, v.tolist()) for g in "ab" for i, v in enumerate(x)] + [("a", 999, None), ("c", 1, [0.0, 0.0])], "g string, id long, v array<double>")
+    got = {(r["g"], r["id"]): r["cluster"] for r in hierarchy.hdbscan(df, "id", "v", 12, 4, "g").collect()}
+    assert [got["b", i] for i in range(len(x))] == label.tolist() and got["a", 999] == got["c", 1] == -1
+    with pytest.raises(Exception, match="the limit is 10"):
+        hierarchy.hdbscan(df, "id", "v", 12, 4, "g", row_limit=10).collect()
+    same = hierarchy.cluster(np.array([[0.0, 0.0]] * 20 + [[9.0, 9.0]] * 20), 5, 2)
+    assert same.tolist() == [0] * 20 + [1] * 20
