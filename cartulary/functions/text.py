@@ -173,11 +173,11 @@ def first_match(c: Column, labelled: Iterable[tuple[str, str]], default: str) ->
     return out
 
 
-def first_needle(c: Column, labelled: Iterable[tuple[str, str]], default: str | Column) -> Column:
-    """The label of the first needle that the lower-cased text holds."""
-    out = default if isinstance(default, Column) else F.lit(default)
+def first_needle(c: Column, labelled: Iterable[tuple[str, str]], default: str | Column, lowered: bool = False) -> Column:
+    """The label of the first needle that the lower-cased text holds (``lowered``: it is in lower case already)."""
+    out, low = default if isinstance(default, Column) else F.lit(default), c if lowered else F.lower(c)
     for needle, label in reversed(list(labelled)):
-        out = F.when(F.contains(F.lower(c), F.lit(needle)), label).otherwise(out)
+        out = F.when(F.contains(low, F.lit(needle)), label).otherwise(out)
     return out
 
 
@@ -198,12 +198,12 @@ def section_kind(heading: Column, text: Column) -> Column:
 
 
 def modality(c: Column) -> Column:
-    return first_match(F.lower(c), rules.MODALITIES, "other")
+    return first_match(c, rules.MODALITIES, "other")
 
 
-def motives(c: Column) -> Column:
+def motives(c: Column, lowered: bool = False) -> Column:
     """array<struct<rank, motive, score>>, best first; ties in the order of the taxonomy."""
-    sample = F.lower(c)
+    sample = c if lowered else F.lower(c)
     scored = []
     for k, (motive, needles) in enumerate(rules.MOTIVE_NEEDLES.items()):
         score = sum((F.contains(sample, F.lit(n)).cast("int") for n in needles), F.lit(0))

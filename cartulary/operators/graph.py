@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.storage import drop_stash, stash
+from cartulary.storage import drop_stash, release, stash
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_round
         mark, before = seen, now
         now = stash(_small_star(_large_star(before)), "components")
         drop_stash(before)
+        release(edges.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

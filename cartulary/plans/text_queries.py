@@ -180,9 +180,13 @@ def clause_semantics(spark, sf_dir):
     """Sections to clauses to modality, instrument, role, motive and captured conditions."""
     s = segment.sections(table(spark, sf_dir, "documents"))
     c = s.select("doc_id", "section_index", "section_kind", F.posexplode(segment.clauses(F.col("text"))).alias("clause_index", "clause"))
-    c = c.withColumns({"modality": fx.modality(F.col("clause")), "hint": fx.first_needle(F.col("clause"), rules.HINTS, F.when(F.col("section_kind") == "definitions", "Definition").when(F.col("section_kind") == "purpose", "Purpose statement").otherwise("General ordinance clause"))})
-    c = c.withColumns({"instrument": fx.first_needle(F.concat_ws(" ", "hint", "clause"), rules.INSTRUMENTS, "general_rule"), "actor": fx.first_match(F.col("clause"), rules.ACTORS, "unknown"), "target": fx.first_match(F.col("clause"), rules.TARGETS, "general")})
-    c = c.withColumns({"role": fx.clause_role(F.col("clause"), F.col("section_kind"), F.col("modality"), F.col("instrument")), "motives": fx.motives(F.col("clause"))})
+    # Lower case once: a hundred needles look into it.
+    c, low, clause = c.withColumn("low", F.lower("clause")), F.col("low"), F.col("clause")
+    kind = F.when(F.col("section_kind") == "definitions", "Definition").when(F.col("section_kind") == "purpose", "Purpose statement").otherwise("General ordinance clause")
+    c = c.withColumns({"modality": fx.modality(clause), "hint": fx.first_needle(low, rules.HINTS, kind, lowered=True)})
+    c = c.withColumn("hinted", F.concat_ws(" ", F.lower("hint"), "low"))
+    c = c.withColumns({"instrument": fx.first_needle(F.col("hinted"), rules.INSTRUMENTS, "general_rule", lowered=True), "actor": fx.first_match(clause, rules.ACTORS, "unknown"), "target": fx.first_match(clause, rules.TARGETS, "general")})
+    c = c.withColumns({"role": fx.clause_role(clause, F.col("section_kind"), F.col("modality"), F.col("instrument")), "motives": fx.motives(low, lowered=True)})
     return c.select("doc_id", "section_index", "clause_index", "section_kind", "modality", "hint", "instrument", "actor", "target", "role", fx.is_operative(F.col("role"), F.col("modality"), F.col("instrument")).alias("operative"), F.get("motives", F.lit(0))["motive"].alias("motive"), fx.motive_confidence(F.col("motives")).alias("confidence"), fx.captured(F.col("clause"), rules.CONDITION).alias("condition"), fx.captured(F.col("clause"), rules.EXCEPTION).alias("exception"), F.size(fx.numbers_found(F.col("clause"))).alias("numbers"))
 
 
