@@ -250,7 +250,9 @@ def build_dictionary(docs: DataFrame, table_: RankTable, pattern: str, dictionar
     """word, ids, decoded of the most frequent words, each folded once."""
     frequent = count_words(docs, pattern).filter(F.octet_length("word") <= FOLD_BYTES).orderBy(F.desc("n"), "word").limit(dictionary_words)
     spark = docs.sparkSession
-    spread = stash(frequent.select("word"), "bpe-words").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    words = stash(frequent.select("word"), "bpe-words")
+    release(spark)
+    spread = words.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return stash(spread.select("word", table_.encode(F.col("word")).alias("ids")).select("word", "ids", table_.decode(F.col("ids")).alias("decoded")), "bpe-dictionary")
 
 

@@ -122,15 +122,21 @@ def train_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id
     sample = texts_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     found = sample.select("text", "domain").mapInArrow(run, "counts binary, domain string").toArrow()
     domains = sorted(set(found.column("domain").to_pylist()))
-    x = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.int32).reshape(-1, DIM)
-    model = fit_classifier(x, np.array([domains.index(d) for d in found.column("domain").to_pylist()]), domains)
-    del found, x
+    y = np.array([domains.index(d) for d in found.column("domain").to_pylist()])
+    parts = [np.frombuffer(c.buffers()[2], np.int32, len(c) * DIM, offset=c.offset * 4 * DIM).reshape(-1, DIM) for c in found.column("counts").chunks if len(c)]
+    x = np.empty((len(y), DIM), np.float32)
+    if parts:
+        np.concatenate(parts, out=x, casting="unsafe")
+    del found, parts
+    release(docs.sparkSession)
+    model = fit_classifier(x, y, domains)
+    del x
     release(docs.sparkSession)
     return model
 
 
 def fit_classifier(counts: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 150) -> DomainClassifier:
-    z = counts.astype(np.float32)
+    z = np.asarray(counts, np.float32)
     z /= np.maximum(z.sum(1, keepdims=True), 1)
     mean, scale = z.mean(0), 1 / (z.std(0) + 1e-4)
     z -= mean
@@ -220,6 +226,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
     step = 1 / max(float(np.linalg.eigvalsh(gram * np.outer(scale, scale)).max()), 1e-12)
     best = np.inf
     for k in range(rounds + 1):
+        if k % 8 == 7:
+            release(members.sparkSession)
         totals = gather(lambda n, p: n @ (p * mix.rates(p)[:, None]))
         miss = totals - mix.targets
         error = float((np.abs(miss) / max(budget, 1e-12)).max())
