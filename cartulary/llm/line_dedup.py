@@ -559,7 +559,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Blocks of band keys are large: in small batches an executor has been seen to need far more memory.
+    docs = table(spark, sf_dir, "documents", batch=64 << 20).select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines_left"), F.col("n_lines_dropped").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
