@@ -126,14 +126,10 @@ def centroid_global_outliers(spark, sf_dir):
 )
 def candidate_scores(spark, sf_dir):
     """The best candidate of the same state: slug 100, title 40 or (contained) 20, city 20, state 10."""
-    from cartulary.operators.join import candidate_score
-
-    j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
-    last = lambda c, n: F.right(c, F.lit(n))
-    two = last("c_name", 2)
-    score = candidate_score(last("c_name", 3) == last("s_name", 3), two == last("s_name", 2), F.contains("s_name", two), F.col("c_custkey") % 3 == F.col("s_suppkey") % 3, F.lit(True))
-    best = F.min(F.struct((-score).alias("m"), "s_suppkey"))
-    return j.groupBy("c_custkey").agg(best.alias("b")).select("c_custkey", "b.s_suppkey", (-F.col("b.m")).alias("score"))
+    from cartulary.operators.join import best_candidates
+
+    third = (F.col("c_custkey") % 3, F.col("s_suppkey") % 3)
+    return best_candidates(table(spark, sf_dir, "customer"), "c_custkey", "c_name", table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", ("c_nationkey", "s_nationkey"), third)
 
 
 
