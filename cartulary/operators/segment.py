@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions import rules
+from cartulary.functions import rules, text as fx
 from cartulary.functions.text import collapse, section_kind
 
 
@@ -145,3 +145,11 @@ def repair_specs(df: DataFrame, key: str, start: str, end: str, last_line: str,
     last = F.when(F.col("next").isNull(), F.col("last")).otherwise(F.col("next") - 1)
     kept = status != "rejected"
     return rows.select(key, F.when(kept, first).otherwise(F.col("s")).cast("long").alias("start"), F.when(kept, last).otherwise(F.col("e")).cast("long").alias("end"), F.col("number").cast("long").alias("number"), status.alias("status"))
+
+
+def purpose_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, motive, description, evidence, confidence: a row per line that states a purpose, or else of the first lines."""
+    rows = df.select(*keys, fx.purpose_candidates(F.col(text)).alias("_lines"))
+    rows = rows.withColumn("_codes", fx.best_motives(F.transform("_lines", lambda x: F.lower(x))))
+    found = fx.purpose_lines(F.col("_lines"), F.col("_codes"))
+    return rows.select(*keys, F.explode_outer(found).alias("_x")).filter("_x is not null").select(*keys, "_x.*")  # a plain explode would evaluate them twice

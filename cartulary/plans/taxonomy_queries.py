@@ -37,12 +37,15 @@ TITLES = ("Article IV: General Rules (as amended) of Use", "SECTION 12 - Signs a
 PLACES = ((1, 0), (7, 3), (5, 1), (11, 6))
 
 
-def texts(spark, sf_dir) -> DataFrame:
-    """p_partkey, title, text."""
+def texts(spark, sf_dir, spread: bool = False) -> DataFrame:
+    """p_partkey, title, text; ``spread`` deals the rows to three tasks a core at least."""
     k = F.col("p_partkey")
     pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
     lines = [pick(SENTENCES, (k * a + b) % len(SENTENCES)) for a, b in PLACES]
-    return table(spark, sf_dir, "part").select("p_partkey", pick(TITLES, k % len(TITLES)).alias("title"), F.concat_ws("\n", *lines).alias("text"))
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    if spread:
+        part = part.repartition(max(part.rdd.getNumPartitions(), 3 * spark.sparkContext.defaultParallelism), "p_partkey")
+    return part.select("p_partkey", pick(TITLES, k % len(TITLES)).alias("title"), F.concat_ws("\n", *lines).alias("text"))
 
 
 def _list(values) -> str:
@@ -166,8 +169,9 @@ def sentence_semantics(spark, sf_dir):
     """,
 )
 def purpose_lines(spark, sf_dir):
-    x = texts(spark, sf_dir).select("p_partkey", F.explode(fx.purpose_lines(F.col("text"))).alias("x"))
-    return x.select("p_partkey", "x.motive", "x.evidence", F.round("x.confidence", 6).alias("confidence"))
+    # Small files are few tasks, and the rules cost far more than moving the keys.
+    x = segment.purpose_lines(texts(spark, sf_dir, spread=True), ["p_partkey"], "text")
+    return x.select("p_partkey", "motive", "evidence", F.round("confidence", 6).alias("confidence"))
 
 
 @query(
