@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cartulary.storage import stash
 
+from .sweep import kmeans_sweep  # noqa: F401
+
 
 def ols_hc1(df: DataFrame, y: Column, numeric: dict[str, Column], factors: dict[str, Column] | None = None, max_levels: int = 64) -> DataFrame:
     """term, estimate, std_error (HC1), z, p, ci_low, ci_high, n, r2 of a linear model.
@@ -53,30 +55,6 @@ def ols_hc1(df: DataFrame, y: Column, numeric: dict[str, Column], factors: dict[
     return df.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, z double, p double, ci_low double, ci_high double, n long, r2 double")
 
 
-def kmeans_sweep(df: DataFrame, item: str, vector: str, ks: list[int], restarts: int = 3, seed: int = 0) -> DataFrame:
-    """k, cost, silhouette, smallest cluster, recommended: the best silhouette with clusters of 10 rows or more."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(item, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows).select(item, "features")
-    scaled.persist()
-    try:
-        out = []
-        for k in ks:
-            models = [KMeans(k=k, seed=seed + r, maxIter=30).fit(scaled) for r in range(restarts)]
-            best = min(models, key=lambda m: m.summary.trainingCost)
-            said = best.transform(scaled)
-            out.append((k, float(best.summary.trainingCost), float(ClusteringEvaluator().evaluate(said)), int(min(best.summary.clusterSizes))))
-    finally:
-        scaled.unpersist()
-    good = [r for r in out if r[3] >= 10] or out
-    pick = max(good, key=lambda r: r[2])[0]
-    return df.sparkSession.createDataFrame([(*r, r[0] == pick) for r in out], "k int, cost double, silhouette double, smallest int, recommended boolean")
-
-
 def kmeans_assign(df: DataFrame, item: str, vector: str, k: int, seed: int = 0) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
