@@ -6,7 +6,7 @@
    values: 99.8 % of pairs at the threshold share a key, unrelated lines hardly
    ever do.  A task signs a line once, however often it reads it.
 2. Band keys are shuffled as packed blocks, so that a row of the exchange
-   holds thousands of them.  Distinct lines that share a band key are
+   holds thousands of them, and cut to ``KEY_BYTES`` bytes.  Distinct lines that share a band key are
    candidates; buckets with the same least member are one group, so a line's
    text travels once per group and not once per band.
 3. Candidates' texts are fetched by a second scan behind a Bloom filter of
@@ -57,7 +57,10 @@ LEADERS = 32
 LARGE = 32
 #: Characters that are hashed at once (arrays stay in the processor's cache), and signed per block.
 HASHED, SIGNED = 150_000, 4_000_000
-#: Bytes of band keys per task of their exchange, if lines have LINE_BYTES.
+#: Bytes of a band key that travel besides its part: about 8 pairs of the 4 million keys of a part collide
+#: and are verified in vain, none is lost.
+KEY_BYTES = 5
+#: Bytes of band keys (unpacked) per task of their exchange, if lines have LINE_BYTES.
 TASK_BYTES, LINE_BYTES = 64 << 20, 64
 BLOOM_BITS = 28
 _VALUES = BANDS * ROWS
@@ -220,15 +223,15 @@ class Seen:
 
 
 def scan_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, parts: int) -> DataFrame:
-    """part, block: what one scan finds, packed into blocks of longs.
+    """part, block: what one scan finds, packed into blocks.
 
-    Blocks of a part below ``parts`` hold the band keys of that part and the
-    lines' h1; the others hold doc_id, line number, h1 and h2 of lines, dealt
+    Blocks of a part below ``parts`` hold the band keys of that part, cut, and
+    the lines' h1; the others hold doc_id, line number, h1 and h2 of lines, dealt
     evenly.
     """
 
     def block(rows: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        ends = (np.r_[0, np.cumsum(n)] * rows.shape[1] * 8).astype(np.int32)
+        ends = (np.r_[0, np.cumsum(n)] * rows.shape[1] * rows.itemsize).astype(np.int32)
         blocks = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), blocks], ["part", "block"])
 
@@ -237,7 +240,8 @@ def scan_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, part
         part = (keys % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
         order = np.argsort(part, kind="stable")
         n = np.bincount(part, minlength=parts)
-        rows = np.stack([keys[order].view(np.int64), np.array(h1, np.int64)[at[order]]], axis=1)
+        cut = (keys[order] // _U(parts)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        rows = np.concatenate([cut, np.array(h1, np.int64)[at[order]].view(np.uint8).reshape(-1, 8)], axis=1)
         return block(rows, np.flatnonzero(n), n[n > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,13 +280,17 @@ def found_lines(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for part, x in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
                 if part < parts:
-                    held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
+                    held.append(np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, KEY_BYTES + 8))
                 else:
                     doc, line, h1, h2 = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4).T
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(line.astype(np.int32))], names)
         if held:
-            rows = np.concatenate(held)
-            held.clear()
+            rows = np.zeros((sum(map(len, held)), 2), np.int64)
+            end, wide = len(rows), rows.view(np.uint8)
+            while held:
+                x = held.pop()
+                wide[end - len(x) : end, :KEY_BYTES], wide[end - len(x) : end, 8:] = x[:, :KEY_BYTES], x[:, KEY_BYTES:]
+                end -= len(x)
             lead, h = _shared(rows)
             none = pa.nulls(len(h), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(h), none, none, none.cast(pa.int32())], names)

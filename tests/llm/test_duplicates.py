@@ -128,6 +128,23 @@ def test_line_dedup_empty_table_and_columns(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_band_keys_travel_short_and_complete(spark):
+    shared = " ".join(words(40, 99))
+    lines = [" ".join(words(20, 300 + i)) for i in range(40)] + [shared, shared + " zz", shared.replace("a", "e", 1)]
+    names = line_dedup._keys(lines)[:, 0]
+    for parts in (1, 5):
+        blocks = line_dedup.scan_lines(frame(spark, lines).coalesce(1), "doc_id", "text", 1, parts)
+        sizes = [len(r["block"]) for r in blocks.collect() if r["part"] < parts]
+        keys, at = line_dedup.band_keys(lines)
+        assert sum(sizes) <= 13 * len(keys)  # 16 with whole keys
+        found = {(r["lead"], r["h1"]) for r in line_dedup.found_lines(blocks, parts).filter("lead is not null").collect()}
+        buckets = defaultdict(set)
+        for k, i in zip(keys.tolist(), at.tolist(), strict=True):
+            buckets[k].add(int(names[i]))
+        want = {(min(b), x) for b in buckets.values() if len(b) > 1 for x in b}
+        assert want and found == want
+
+
 def test_bloom_has_no_false_negatives(spark):
     rng = np.random.default_rng(0)
     h, d = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(0, 2**40, 5000)
