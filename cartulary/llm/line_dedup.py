@@ -6,7 +6,7 @@
    values: 99.8 % of pairs at the threshold share a key, unrelated lines hardly
    ever do.  A task signs a line once, however often it reads it.
 2. Band keys are shuffled as packed blocks, so that a row of the exchange
-   holds thousands of them, and cut to ``KEY_BYTES`` bytes.  Distinct lines that share a band key are
+   holds thousands of them, and cut to five bytes.  Distinct lines that share a band key are
    candidates; buckets with the same least member are one group, so a line's
    text travels once per group and not once per band.
 3. Candidates' texts are fetched by a second scan behind a Bloom filter of
@@ -57,9 +57,9 @@ LEADERS = 32
 LARGE = 32
 #: Characters that are hashed at once (arrays stay in the processor's cache), and signed per block.
 HASHED, SIGNED = 150_000, 4_000_000
-#: Bytes of a band key that travel besides its part: about 8 pairs of the 4 million keys of a part collide
-#: and are verified in vain, none is lost.
-KEY_BYTES = 5
+#: A band key as it travels besides its part, 5 bytes and the line's h1: about 8 pairs of the 4 million keys
+#: of a part collide and are verified in vain, none is lost.
+CUT = np.dtype([("low", "<u4"), ("high", "u1"), ("h1", "<i8")])
 #: Bytes of band keys (unpacked) per task of their exchange, if lines have LINE_BYTES.
 TASK_BYTES, LINE_BYTES = 64 << 20, 64
 BLOOM_BITS = 28
@@ -139,30 +139,36 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     have both, since similar lines may lie on either side of the limit.
     """
     keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for run in runs(lines, HASHED):
-        h, own = shingle_hashes(lines[run])
-        many, few = np.flatnonzero(own >= FEW), np.flatnonzero(own < 2 * FEW)
-        if len(many):
-            keys.append(_banded(_one_permutation(h[np.repeat(own >= FEW, own)], own[many]), 1).ravel())
-            places.append(np.repeat(many + run.start, BANDS))
-        if len(few):
-            part, starts = h[np.repeat(own < 2 * FEW, own)], np.r_[0, np.cumsum(own[few])[:-1]]
-            least = np.stack([np.minimum.reduceat(part * odd, starts) for odd in _ODD], axis=1)
-            keys.append(_banded(least, 2).ravel())
-            places.append(np.repeat(few + run.start, BANDS))
+    size = np.fromiter(map(len, lines), np.int64, len(lines)) - SHINGLE + 1
+    # Lines of one kind go together, so that no hashes are picked out of others.
+    for many, few, kind in ((True, False, size >= 2 * FEW), (True, True, (size >= FEW) & (size < 2 * FEW)), (False, True, size < FEW)):
+        at = np.flatnonzero(kind)
+        alike = [lines[i] for i in at.tolist()]
+        for run in runs(alike, HASHED):
+            h, own = shingle_hashes(alike[run])
+            if many:
+                keys.append(_banded(_one_permutation(h, own), 1).ravel())
+                places.append(np.repeat(at[run], BANDS))
+            if few:
+                starts, turned = np.r_[0, np.cumsum(own)[:-1]], np.empty_like(h)
+                least = np.stack([np.minimum.reduceat(np.multiply(h, odd, out=turned), starts) for odd in _ODD], axis=1)
+                keys.append(_banded(least, 2).ravel())
+                places.append(np.repeat(at[run], BANDS))
     return np.concatenate(keys), np.concatenate(places)
 
 
 def _one_permutation(h: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The least hash of each of ``_BINS`` bins in every turn, one row per line."""
-    first, steps, out = np.repeat(np.arange(len(own)) * _BINS, own), np.arange(_BINS, dtype=np.int32), []
+    first, steps, out = np.repeat(np.arange(len(own), dtype=np.uint64) * _U(_BINS), own), np.arange(_BINS, dtype=np.int32), []
+    turned, at = np.empty_like(h), np.empty_like(h)
     for odd in _ODD[:TURNS]:
-        turned = h * odd
-        at = turned >> _U(40)
+        np.multiply(h, odd, out=turned)
+        np.right_shift(turned, _U(40), out=at)
         at *= _U(_BINS)
         at >>= _U(24)
+        at += first
         least = np.full(len(own) * _BINS, _NONE)
-        np.minimum.at(least, first + at.astype(np.int64), turned)
+        np.minimum.at(least, at.view(np.int64), turned)
         least = least.reshape(-1, _BINS)
         # An empty bin takes the value of the next full one, marked by how far it lies.
         gaps = np.flatnonzero((least == _NONE).any(axis=1))
@@ -231,7 +237,7 @@ def scan_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, part
     """
 
     def block(rows: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        ends = (np.r_[0, np.cumsum(n)] * rows.shape[1] * rows.itemsize).astype(np.int32)
+        ends = (np.r_[0, np.cumsum(n)] * (rows.nbytes // len(rows))).astype(np.int32)
         blocks = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), blocks], ["part", "block"])
 
@@ -240,8 +246,9 @@ def scan_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, part
         part = (keys % _U(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
         order = np.argsort(part, kind="stable")
         n = np.bincount(part, minlength=parts)
-        cut = (keys[order] // _U(parts)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-        rows = np.concatenate([cut, np.array(h1, np.int64)[at[order]].view(np.uint8).reshape(-1, 8)], axis=1)
+        keys, rows = keys[order] // _U(parts), np.empty(len(keys), CUT)
+        rows["low"], rows["high"] = keys & _U(0xFFFFFFFF), keys >> _U(32) & _U(0xFF)
+        rows["h1"] = np.array(h1, np.int64)[at[order]]
         return block(rows, np.flatnonzero(n), n[n > 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,16 +287,19 @@ def found_lines(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for part, x in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
                 if part < parts:
-                    held.append(np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, KEY_BYTES + 8))
+                    held.append(np.frombuffer(x.as_buffer(), CUT))
                 else:
                     doc, line, h1, h2 = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4).T
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(line.astype(np.int32))], names)
         if held:
-            rows = np.zeros((sum(map(len, held)), 2), np.int64)
-            end, wide = len(rows), rows.view(np.uint8)
+            rows = np.empty((sum(map(len, held)), 2), np.int64)
+            end = len(rows)
             while held:
                 x = held.pop()
-                wide[end - len(x) : end, :KEY_BYTES], wide[end - len(x) : end, 8:] = x[:, :KEY_BYTES], x[:, KEY_BYTES:]
+                own = rows[end - len(x) : end]
+                own[:, 0], own[:, 1] = x["high"], x["h1"]
+                own[:, 0] <<= 32
+                own[:, 0] |= x["low"]
                 end -= len(x)
             lead, h = _shared(rows)
             none = pa.nulls(len(h), pa.int64())
